@@ -143,7 +143,11 @@ def ngrams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (owner, value) pairs, by owner and then value."""
-    order = np.lexsort((values, owner))
+    if len(owner) and owner[-1] < 65536:  # owners ascend; a radix sort restores them after the sort by value
+        order = np.argsort(values)
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    else:
+        order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     if len(values):
         new = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])]

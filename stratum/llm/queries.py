@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality_rules, sharding
+from . import bpe, exact_dedup, ngram_join, quality_rules, sharding
 
 SHARDS = 64
 SEED = 20240229
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.pairs(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.apply(_table(spark, sf_dir, "documents"), SHARDS, SEED)
 
@@ -36,6 +40,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.sql(),
         "op3_sharding": sharding.sql(SHARDS, SEED),
         "op5_exact_dedup": exact_dedup.sql(),
         "op7_quality_rules": quality_rules.sql(),
