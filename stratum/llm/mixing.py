@@ -145,8 +145,9 @@ def _rate(steps: list[np.ndarray], cap: float):
 def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, cap: float = 4.0, most: int = 25, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps, reached totals and wanted totals.
 
-    total: the tokens of the mixture; if None, as many as the scarcest domain allows
-    without repetition. A step that doesn't lower the error is halved.
+    total: the tokens of the mixture; if None, as many as the domain of most weight has
+    without repetition, so that none of it need go. A step that doesn't lower the error
+    is halved; steps end when they no longer lower it by a thousandth.
     """
     k, p = len(DOMAINS), [F.col(f"p_{d}") for d in DOMAINS]
     weights = np.array([targets[d] for d in DOMAINS], float)
@@ -166,16 +167,19 @@ def solve(table: DataFrame, targets: dict[str, float], total: float | None = Non
 
     got, gram = measure([])
     if total is None:
-        total = min((g / w for g, w in zip(got, weights, strict=True) if w > 0), default=0.0)
+        total = got[weights.argmax()] / weights.max()
     want = weights * total
     steps: list[np.ndarray] = []
     scale = max(total, 1.0)
     size = 1.0
-    while len(steps) < most and np.abs(got - want).max() > close * scale and size > 1e-3:
+    gain = 1.0
+    while len(steps) < most and np.abs(got - want).max() > close * scale and size > 1e-3 and gain > 1e-3:
         ridge = 1e-6 * max(np.trace(gram), 1.0)
         step = size * np.linalg.solve(gram + ridge * np.eye(k), want - got)
         new, new_gram = measure([*steps, step])
-        if ((new - want) ** 2).sum() < ((got - want) ** 2).sum() * (1 - 1e-9):
+        old_error, new_error = ((got - want) ** 2).sum(), ((new - want) ** 2).sum()
+        if new_error < old_error * (1 - 1e-9):
+            gain = 1 - new_error / old_error
             steps, got, gram, size = [*steps, step], new, new_gram, min(1.0, size * 2)
         else:
             size /= 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding
+from . import bpe, chat, exact_dedup, licences, mixing, ngram_join, quality_classifier, quality_rules, sharding, warc
 
 SHARDS = 64
 SEED = 20240229
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.pairs(_table(spark, sf_dir, "documents"))
 
@@ -38,10 +42,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip=True).drop("text")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_files(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -52,4 +64,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_sharding": sharding.sql(SHARDS, SEED),
         "op5_exact_dedup": exact_dedup.sql(),
         "op7_quality_rules": quality_rules.sql(),
+        "op10_warc": warc.sql(),
     }
