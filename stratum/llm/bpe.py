@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._io import mapped
 
-SLICE = 4 << 20
-CACHED = 3_000_000
+SLICE = 2 << 20
+CACHED = 1_000_000
 
 
 def default_vocabulary() -> str:
