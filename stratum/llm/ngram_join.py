@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import mapped, materialise, remove, scratch_path, ship
+from ._io import mapped, materialise, remove, scratch_path, ship, sized
 
 N = 5
 THRESHOLD = 0.45
@@ -312,7 +312,8 @@ def _pairs(df: DataFrame, n: int, t: float, stars: bool) -> DataFrame:
     tiles = roots.groupBy("root").agg(F.count("*").alias("rows")).select("root", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     total = roots.count()
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TILE))
-    placed = sets.join(roots.join(tiles, "root").withColumnRenamed("doc", "row"), "row")
+    # a list of ids that is small enough goes to the sets; beyond that both sides shuffle
+    placed = sets.join(sized(roots.join(tiles, "root").withColumnRenamed("doc", "row")), "row")
     own = F.pmod(F.xxhash64(F.col("row"), F.lit(1)), F.col("tiles")).cast("int")
     placed = placed.withColumn("own", own).withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     work = placed.select(
@@ -339,8 +340,6 @@ def groups(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
 
 def one_of_each(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df without the documents that are linked to one of lesser doc_id; rows with a null doc_id stay."""
-    from ._io import sized
-
     away = materialise(groups(df, n, threshold).where("doc <> root").select(F.col("doc").alias("doc_id")), "near-copies")
     return df.join(sized(away), "doc_id", "left_anti").select(df.columns)
 
