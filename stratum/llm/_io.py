@@ -66,6 +66,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    # workers are reused: large arrays go back to the system when they are freed, not to a heap that only grows
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
 
 
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:

@@ -94,10 +94,11 @@ def apply(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
 
 def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of df that break no rule, with the columns of df."""
-    measured = metrics(F.col(text))
-    bundle = F.struct(*(c.alias(k) for k, c in measured.items()))
-    one = F.transform(F.array(bundle), lambda m: F.concat_ws(",", *(F.when(broken(r, lambda k: m[k]), F.lit(r.name)) for r in rules)))
-    return df.where(one[0] == "")
+    out = df.withColumns({f"__{k}": c for k, c in metrics(F.col(text)).items()})
+    failed = F.concat_ws(",", *(F.when(broken(r, lambda k: F.col(f"__{k}")), F.lit(r.name)) for r in rules))
+    # the row number keeps the condition above the projection, where every metric is computed once
+    out = out.withColumn("__failed", failed).withColumn("__row", F.monotonically_increasing_id())
+    return out.where("__failed = '' AND __row >= 0").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
