@@ -94,8 +94,8 @@ class Jobs:
             timer.cancel()
             context.removeJobTag(job.id)
             job.seconds = time.monotonic() - began
-            job.done.set()
             self.w.remember({"id": job.id, "sql": job.sql, "state": job.state, "rows": job.rows, "seconds": job.seconds, "snapshot": job.snapshot, "at": job.created})
+            job.done.set()
 
     def _stop(self, job: Job, state: str) -> None:
         if not job.done.is_set() and job.state in ("pending", "running"):

@@ -76,7 +76,7 @@ class Ingest:
         try:
             good = kept.where(F.size("errors") == 0).drop("index", "errors")
             n = good.count()
-            bad = [(r.index, list(r.errors)) for r in kept.where(F.size("errors") > 0).select("index", "errors").orderBy("index").limit(REPORTED).collect()]
+            bad = [(r["index"], list(r["errors"])) for r in kept.where(F.size("errors") > 0).select("index", "errors").orderBy("index").limit(REPORTED).collect()]
             fresh = self.commit(ref, good, batch_id, outputs)
         finally:
             self.w.drop_scratch(kept)
