@@ -22,6 +22,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Bytes with A-Z as lower case and ASCII signs other than letters and digits as spaces.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[:128] = [ord(chr(c).lower()) if chr(c).isalnum() else c if c <= 32 else 32 for c in range(128)]
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1

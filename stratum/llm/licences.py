@@ -95,16 +95,12 @@ NEAR_MISSES = (
 )
 FAMILIES = (*TEMPLATES, UNKNOWN)
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[:128] = [ord(chr(c).lower()) if chr(c).isalnum() else c if c <= 32 else 32 for c in range(128)]
-
-
 class Words:
     """The words of the paragraphs of a string array: hashes, paragraph of each word, document of each paragraph."""
 
     def __init__(self, column: pa.Array):
         raw, offsets = T.buffers(column)
-        raw = _FOLD[raw]
+        raw = T.FOLD[raw]
         edges = np.union1d(offsets[:-1], np.flatnonzero(raw == 10) + 1) if len(raw) else np.zeros(0, np.int64)
         edges = edges[edges < len(raw)]
         starts, ends, line = T.words(raw, np.r_[edges, len(raw)])
@@ -256,7 +252,8 @@ def sampled(docs: DataFrame, most: int) -> list[str]:
 
 def train(paragraphs: list[str]) -> Model:
     texts, classes = examples(paragraphs)
-    return Model().fit(Words(pa.array([t.replace("\n", " ") for t in texts])), np.array(classes))
+    words = Words(pa.array([t.replace("\n", " ") for t in texts]))
+    return Model().fit(words, np.array(classes)[words.document])  # texts of signs alone have no words
 
 
 _OUT = "n_paragraphs long, family string, families array<string>, paragraph long, probability double, containment double, unconfirmed long"

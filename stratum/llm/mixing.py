@@ -9,9 +9,12 @@ step the residual scaled by the inverse Gram matrix of the documents not clipped
 iteration is one aggregate of a few numbers over the written table of posteriors; rates
 are recomputed from the list of steps, so nothing per document is rewritten.
 
-Features are counts of hashed words over sqrt(words), in 2**16 buckets. The classifier
-is a softmax regression fitted on at most `max_labelled` labelled documents (the bound
-is a parameter); everything else covers every document.
+Features are the presence of words and of their first PREFIX bytes (case folded, signs
+apart), hashed into 2**BITS buckets; so a telling word counts as much in a long document
+as in a short one. The classifier is a softmax regression on the buckets whose share of
+documents differs between a class and the rest by a z score of at least TELLING. It is
+fitted on at most `most` labelled documents (the bound is a parameter); everything else
+covers every document.
 
 Defined results: null and empty texts have no tokens, the posterior of a text without
 words, and add nothing to any total. Without labelled rows every posterior is uniform.
@@ -37,24 +40,28 @@ from ._labelled import sample as labelled
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
-BITS = 16
+BITS, PREFIX, TELLING = 18, 6, 5.0
 MAX_LABELLED = 6000
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of every word, index of its text, and the number of words of each text."""
+    """Bucket and text of every word and prefix, repeated as they come, and the number of white-space separated words of each text."""
     raw, offsets = T.buffers(column)
+    counts = np.bincount(T.words(raw, offsets)[2], minlength=len(column))
+    raw = T.FOLD[raw]
     starts, ends, owner = T.words(raw, offsets)
-    bucket = (T.span_hashes(raw, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
-    return bucket, owner, np.bincount(owner, minlength=len(column))
+    whole, part = T.span_hashes(raw, starts, ends), T.mix(T.span_hashes(raw, starts, np.minimum(ends, starts + PREFIX)))
+    return (np.r_[whole, part] >> np.uint64(64 - BITS)).astype(np.int64), np.r_[owner, owner], counts
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch.column(1)):
-            bucket, owner, counts = features(batch.column(1).slice(a, b - a))
-            ends = np.cumsum(counts)
-            lists = [bucket[e - c : e].astype(np.uint16).tobytes() for e, c in zip(ends, counts, strict=True)]
+            bucket, owner, _ = features(batch.column(1).slice(a, b - a))
+            key = np.unique(owner << BITS | bucket)
+            at = np.searchsorted(key, np.arange(b - a + 1) << BITS)
+            found = (key & ((1 << BITS) - 1)).astype(np.uint32)
+            lists = [found[low:high].tobytes() for low, high in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(lists, pa.binary())], ["quality", "toxic", "words"])
 
 
@@ -63,39 +70,46 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(lists: list[np.ndarray], classes: np.ndarray, k: int, epochs: int = 150, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (buckets, k) and biases of a softmax regression, by full-batch Adam."""
-    counts = np.array([len(x) for x in lists])
-    weights, bias = np.zeros((1 << BITS, k), np.float32), np.log(np.bincount(classes, minlength=k) + 1.0).astype(np.float32)
-    bias -= bias.max()
-    flat = np.concatenate(lists).astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(lists)), counts)
-    key, times = np.unique(row << BITS | flat, return_counts=True)
-    row, flat = key >> BITS, key & ((1 << BITS) - 1)
-    value = (times / np.sqrt(np.maximum(counts, 1))[row]).astype(np.float32)
-    want = np.eye(k, dtype=np.float32)[classes]
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    used = np.unique(flat)
-    place = np.searchsorted(used, flat)
-    w, m, v = weights[used], m[used], v[used]
+def fit(lists: list[np.ndarray], classes: np.ndarray, k: int, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (buckets, k), most of them 0, and biases of a softmax regression, by full-batch Adam."""
+    n, sizes = len(lists), np.bincount(classes, minlength=k)
+    flat = np.concatenate(lists).astype(np.int64) if n else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    total = np.bincount(flat, minlength=1 << BITS)
+    telling = np.zeros(1 << BITS, bool)
+    for j in range(k):
+        if 0 < sizes[j] < n:
+            own = np.bincount(flat[classes[row] == j], minlength=1 << BITS)
+            share = total / n
+            z = (own / sizes[j] - (total - own) / (n - sizes[j])) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / sizes[j] + 1 / (n - sizes[j])))
+            telling |= (np.abs(z) >= TELLING) & (total >= 3)
+    used = np.flatnonzero(telling)
+    some = telling[flat]
+    row, place = row[some], np.searchsorted(used, flat[some])
+    want = np.eye(k)[classes]
+    w, b = np.zeros((len(used), k)), np.log(sizes + 1.0) - np.log(n + k)
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
     for step in range(1, epochs + 1):
-        scores = np.stack([np.bincount(row, weights=w[place, j] * value, minlength=len(lists)) for j in range(k)], axis=1) + bias
-        off = (_softmax(scores) - want) / max(len(lists), 1)
-        grad = np.stack([np.bincount(place, weights=off[row, j] * value, minlength=len(used)) for j in range(k)], axis=1) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        scores = np.stack([np.bincount(row, weights=w[place, j], minlength=n) for j in range(k)], axis=1) + b
+        off = (_softmax(scores) - want) / max(n, 1)
+        grad = np.stack([np.bincount(place, weights=off[row, j], minlength=len(used)) for j in range(k)], axis=1) + decay * w
+        gb = off.sum(axis=0)
+        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        bias = bias - rate * off.sum(axis=0)
+        b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
+    weights = np.zeros((1 << BITS, k), np.float32)
     weights[used] = w
-    return weights, bias.astype(np.float32)
+    return weights, b.astype(np.float32)
 
 
 def predict(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (texts, k) and word counts."""
     bucket, owner, counts = features(column)
-    scores = np.zeros((len(column), weights.shape[1]))
-    for j in range(weights.shape[1]):
-        scores[:, j] = np.bincount(owner, weights=weights[:, j][bucket], minlength=len(column))
-    return _softmax(scores / np.sqrt(np.maximum(counts, 1))[:, None] + bias), counts
+    some = (weights != 0).any(axis=1)[bucket]
+    key = np.unique(owner[some] << BITS | bucket[some])
+    bucket, owner = key & ((1 << BITS) - 1), key >> BITS
+    scores = np.stack([np.bincount(owner, weights=weights[bucket, j], minlength=len(column)) for j in range(weights.shape[1])], axis=1)
+    return _softmax(scores + bias), counts
 
 
 def domain(quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -108,7 +122,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple
     if not rows:
         return None
     classes = domain(np.array([r.quality for r in rows]), np.array([r.toxic for r in rows]))
-    return fit([np.frombuffer(r.words, np.uint16) for r in rows], classes, len(DOMAINS))
+    return fit([np.frombuffer(r.words, np.uint32) for r in rows], classes, len(DOMAINS))
 
 
 def _posterior(fitted):
