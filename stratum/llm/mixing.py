@@ -12,8 +12,10 @@ are recomputed from the list of steps, so nothing per document is rewritten.
 Features are the presence of words and of their first PREFIX bytes (case folded, signs
 apart), hashed into 2**BITS buckets; so a telling word counts as much in a long document
 as in a short one. The classifier is a softmax regression on the buckets whose share of
-documents differs between a class and the rest by a z score of at least TELLING. It is
-fitted on at most `most` labelled documents (the bound is a parameter); everything else
+documents differs between a class and the rest by a z score of at least TELLING. As a
+short text holds few of them, whatever its domain, the biases are fitted for each shape:
+LENGTHS powers of two of the number of words by DISTINCT steps of the share of distinct
+buckets; a shape without labelled rows has the biases of all. It is fitted on at most `most` labelled documents (the bound is a parameter); everything else
 covers every document.
 
 Defined results: null and empty texts have no tokens, the posterior of a text without
@@ -41,6 +43,7 @@ from ._labelled import sample as labelled
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 BITS, PREFIX, TELLING = 18, 6, 5.0
+LENGTHS, DISTINCT = 11, 6
 MAX_LABELLED = 6000
 
 
@@ -54,15 +57,21 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.r_[whole, part] >> np.uint64(64 - BITS)).astype(np.int64), np.r_[owner, owner], counts
 
 
+def shape(counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The shape of texts by their numbers of words and of distinct buckets."""
+    length = np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), LENGTHS - 1)
+    return length * DISTINCT + np.minimum(distinct * DISTINCT // np.maximum(2 * counts, 1), DISTINCT - 1)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in T.slices(batch.column(1)):
-            bucket, owner, _ = features(batch.column(1).slice(a, b - a))
+            bucket, owner, counts = features(batch.column(1).slice(a, b - a))
             key = np.unique(owner << BITS | bucket)
             at = np.searchsorted(key, np.arange(b - a + 1) << BITS)
             found = (key & ((1 << BITS) - 1)).astype(np.uint32)
             lists = [found[low:high].tobytes() for low, high in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(lists, pa.binary())], ["quality", "toxic", "words"])
+            yield pa.record_batch([batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(lists, pa.binary()), pa.array(shape(counts, np.diff(at)).astype(np.int32))], ["quality", "toxic", "words", "shape"])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -70,8 +79,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(lists: list[np.ndarray], classes: np.ndarray, k: int, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (buckets, k), most of them 0, and biases of a softmax regression, by full-batch Adam."""
+def fit(lists: list[np.ndarray], shapes: np.ndarray, classes: np.ndarray, k: int, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (buckets, k), most of them 0, and biases (shapes, k) of a softmax regression, by full-batch Adam."""
     n, sizes = len(lists), np.bincount(classes, minlength=k)
     flat = np.concatenate(lists).astype(np.int64) if n else np.zeros(0, np.int64)
     row = np.repeat(np.arange(n), [len(x) for x in lists])
@@ -87,13 +96,14 @@ def fit(lists: list[np.ndarray], classes: np.ndarray, k: int, epochs: int = 150,
     some = telling[flat]
     row, place = row[some], np.searchsorted(used, flat[some])
     want = np.eye(k)[classes]
-    w, b = np.zeros((len(used), k)), np.log(sizes + 1.0) - np.log(n + k)
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
+    prior = np.log(sizes + 1.0) - np.log(n + k)
+    w, b = np.zeros((len(used), k)), np.tile(prior, (LENGTHS * DISTINCT, 1))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for step in range(1, epochs + 1):
-        scores = np.stack([np.bincount(row, weights=w[place, j], minlength=n) for j in range(k)], axis=1) + b
+        scores = np.stack([np.bincount(row, weights=w[place, j], minlength=n) for j in range(k)], axis=1) + b[shapes]
         off = (_softmax(scores) - want) / max(n, 1)
         grad = np.stack([np.bincount(place, weights=off[row, j], minlength=len(used)) for j in range(k)], axis=1) + decay * w
-        gb = off.sum(axis=0)
+        gb = np.stack([np.bincount(shapes, weights=off[:, j], minlength=len(b)) for j in range(k)], axis=1) + decay * (b - prior)
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
@@ -105,11 +115,13 @@ def fit(lists: list[np.ndarray], classes: np.ndarray, k: int, epochs: int = 150,
 def predict(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (texts, k) and word counts."""
     bucket, owner, counts = features(column)
-    some = (weights != 0).any(axis=1)[bucket]
-    key = np.unique(owner[some] << BITS | bucket[some])
+    key = np.unique(owner << BITS | bucket)
     bucket, owner = key & ((1 << BITS) - 1), key >> BITS
+    shapes = shape(counts, np.bincount(owner, minlength=len(column)))
+    some = (weights != 0).any(axis=1)[bucket]
+    bucket, owner = bucket[some], owner[some]
     scores = np.stack([np.bincount(owner, weights=weights[bucket, j], minlength=len(column)) for j in range(weights.shape[1])], axis=1)
-    return _softmax(scores + bias), counts
+    return _softmax(scores + bias[shapes]), counts
 
 
 def domain(quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -117,17 +129,17 @@ def domain(quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def model(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray] | None:
-    rows = mapped(labelled(docs, labels, most).select("doc_id", "text", "quality", "toxic"), _rows, "quality int, toxic int, words binary")
-    rows = sorted(rows.collect(), key=lambda r: (r.words, r.quality, r.toxic))
+    rows = mapped(labelled(docs, labels, most).select("doc_id", "text", "quality", "toxic"), _rows, "quality int, toxic int, words binary, shape int")
+    rows = sorted(rows.collect(), key=lambda r: (r.words, r.shape, r.quality, r.toxic))
     if not rows:
         return None
     classes = domain(np.array([r.quality for r in rows]), np.array([r.toxic for r in rows]))
-    return fit([np.frombuffer(r.words, np.uint32) for r in rows], classes, len(DOMAINS))
+    return fit([np.frombuffer(r.words, np.uint32) for r in rows], np.array([r.shape for r in rows]), classes, len(DOMAINS))
 
 
 def _posterior(fitted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = fitted.value if fitted else (np.zeros((1 << BITS, len(DOMAINS)), np.float32), np.zeros(len(DOMAINS), np.float32))
+        weights, bias = fitted.value if fitted else (np.zeros((1 << BITS, len(DOMAINS)), np.float32), np.zeros((LENGTHS * DISTINCT, len(DOMAINS)), np.float32))
         for batch in batches:
             for a, b in T.slices(batch.column(2)):
                 p, counts = predict(batch.column(2).slice(a, b - a), weights, bias)

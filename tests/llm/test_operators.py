@@ -192,6 +192,16 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r.p_toxic > 0.5 for r in mixed if r.toxic == 1]) > 0.8 and np.mean([r.p_toxic > 0.5 for r in mixed if r.toxic == 0]) < 0.03
 
 
+def test_mixing_on_held_out_clean_rows_of_every_length(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0 AND quality = 1 AND toxic = 0")
+    rows = mixing.rates(docs, known, cap=1.0).join(held.select("doc_id"), "doc_id").select("n_tokens", "rate").collect()
+    found = {(a, b): [r.rate for r in rows if a <= r.n_tokens < b] for a, b in ((0, 20), (20, 50), (50, 100), (100, 500), (500, 10**9))}
+    print("clean rates", {k: (len(v), round(float(np.mean(v)), 3)) for k, v in found.items()}, "all", np.mean([r.rate for r in rows]))
+    assert all(np.mean(v) > 0.8 for v in found.values())
+
+
 def test_licences_on_other_wordings():
     model = licences.train([f"an ordinary paragraph about {w} and the weather in the north" for w in ("fish", "ships", "wool", "towns", "corn")] * 40)
     cases = {
