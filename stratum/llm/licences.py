@@ -12,6 +12,12 @@ paragraph's word 3-grams (of the whole paragraph if it has fewer words) occur in
 family's templates, or if a window of the paragraph as long as a template sentence holds that
 share of the sentence's 3-grams (a sentence inside a longer paragraph).
 
+As the words around a sentence dilute a paragraph's score, windows as long as a template
+sentence are scored too, wherever one holds CONFIRM of a sentence's 3-grams, in
+paragraphs joined over single line breaks. Of windows whose matched words overlap, the
+one of most matched 3-grams counts; each that is left gives its family if the classifier
+predicts it with LEAST or more, so a line with two licenses gives both.
+
 scan() gives every document: family (of the most probable confirmed paragraph, "none"
 without one), families (all confirmed, sorted), paragraph (its number from 0), its
 probability and containment, and how many predictions weren't confirmed.
@@ -109,6 +115,19 @@ class Words:
         self.paragraph = np.cumsum(new) - 1
         self.document = np.searchsorted(offsets, edges[line[new]], "right") - 1
         self.counts = np.bincount(self.paragraph, minlength=len(self.document))
+        apart = np.diff(line[new], prepend=-2) > 1
+        apart[1:] |= np.diff(self.document) > 0
+        self.block = (np.cumsum(apart) - 1)[self.paragraph] if len(line) else line  # paragraphs without a blank line between
+
+    @classmethod
+    def spans(cls, words: Words, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """Spans of words as paragraphs, of the document of their first word."""
+        out = cls.__new__(cls)
+        out.counts = ends - starts
+        out.paragraph = np.repeat(np.arange(len(starts)), out.counts)
+        out.hashes = words.hashes[np.arange(out.counts.sum()) + np.repeat(starts - np.cumsum(out.counts) + out.counts, out.counts)]
+        out.document = words.document[words.paragraph[starts]]
+        return out
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and paragraph of every word and every pair of neighbours."""
@@ -130,12 +149,17 @@ class Model:
         self.place, self.weights, self.bias, self.temperature = np.zeros(1 << BITS, np.int32), np.zeros((1, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)), 1.0
         self.sentences: list[tuple[int, np.ndarray, int]] = []
         self.grams: dict[int, np.ndarray] = {}
+        self.patterns: list[tuple[int, np.ndarray, int]] = []
         for k, family in enumerate(TEMPLATES):
             words = Words(pa.array(TEMPLATES[family]))
             grams, owner = T.ngrams(words.hashes, words.paragraph, 3)
             self.grams[k] = np.unique(grams)
             for i in range(len(TEMPLATES[family])):
                 self.sentences.append((k, np.unique(grams[owner == i]), int(words.counts[i])))
+            parts = Words(pa.array(sorted({x for t in TEMPLATES[family] for x in (t, *t.split(". "))})))
+            grams, owner = T.ngrams(parts.hashes, parts.paragraph, 3)
+            self.patterns += [(k, np.unique(grams[owner == i]), int(n)) for i, n in enumerate(parts.counts) if n >= 3]
+        self.known = np.unique(np.concatenate([g for _, g, _ in self.patterns]))
 
     def logits(self, words: Words) -> np.ndarray:
         bucket, of = words.pairs()
@@ -205,6 +229,41 @@ class Model:
         return share
 
 
+    def windows(self, words: Words) -> list[tuple[int, int, float, float]]:
+        """Paragraph of the first word, family, probability and containment of every confirmed window."""
+        size = np.bincount(words.block)[words.block] if len(words.block) else words.block
+        long = np.flatnonzero(size >= 3)
+        if not len(long):
+            return []
+        block = words.block[long]
+        grams, _ = T.ngrams(words.hashes[long], block, 3)
+        at = long[:-2][block[2:] == block[:-2]]  # the first word of every 3-gram
+        hit = np.isin(grams, self.known)
+        grams, at = grams[hit], at[hit]
+        close = np.searchsorted(words.block, words.block[at], "right")  # where the block ends
+        found = []
+        for k, sentence, n in self.patterns:
+            own = np.isin(grams, sentence)
+            g, start, end = grams[own], at[own], close[own]
+            to = np.searchsorted(start, np.minimum(start + n, end) - 3, "right")
+            for i in np.flatnonzero(to - np.arange(len(g)) >= CONFIRM * len(sentence)):
+                matched = len(np.unique(g[i : to[i]]))
+                if matched >= CONFIRM * len(sentence):
+                    found.append((-matched, -matched / len(sentence), int(start[i]), int(start[to[i] - 1]) + 3, int(min(start[i] + n, end[i])), k))
+        taken, kept = np.zeros(len(words.hashes), bool), []
+        for x in sorted(found):
+            if not taken[x[2] : x[3]].any():
+                taken[x[2] : x[3]] = True
+                kept.append(x)
+        if not kept:
+            return []
+        _, share, start, core, end, family = (np.array(x) for x in zip(*kept, strict=True))
+        n = len(start)
+        p = self.probabilities(Words.spans(words, np.r_[start, start], np.r_[core, end]))
+        p = np.where(p.argmax(axis=1) == np.r_[family, family], p[np.arange(2 * n), np.r_[family, family]], 0).reshape(2, n).max(axis=0)
+        return [(int(words.paragraph[start[i]]), int(family[i]), float(p[i]), float(-share[i])) for i in np.flatnonzero(p >= LEAST)]
+
+
 def examples(paragraphs: list[str], seed: int = 5, each: int = 16) -> tuple[list[str], list[int]]:
     """Paragraphs and classes to fit on."""
     r = np.random.default_rng(seed)
@@ -270,16 +329,19 @@ def scanned(column: pa.Array, model: Model) -> list[tuple]:
         top = p[np.arange(len(p)), best]
         first = np.cumsum(per) - per
         edges = np.r_[0, np.cumsum(words.counts)]
+        found = model.windows(words)
         for i in np.flatnonzero(top >= LEAST):
-            d, k = int(words.document[i]), int(best[i])
-            row = out[d]
-            share = model.containment(words.hashes[edges[i] : edges[i + 1]], k)
+            share = model.containment(words.hashes[edges[i] : edges[i + 1]], int(best[i]))
             if share < CONFIRM:
-                row[6] += 1
-                continue
+                out[int(words.document[i])][6] += 1
+            else:
+                found.append((int(i), int(best[i]), float(top[i]), share))
+        for i, k, chance, share in sorted(found):
+            d = int(words.document[i])
+            row = out[d]
             row[2] = sorted({*row[2], FAMILIES[k]})
-            if row[4] is None or top[i] > row[4]:
-                row[1], row[3], row[4], row[5] = FAMILIES[k], int(i - first[d]), float(top[i]), share
+            if row[4] is None or chance > row[4]:
+                row[1], row[3], row[4], row[5] = FAMILIES[k], int(i - first[d]), chance, share
     return [tuple(x) for x in out]
 
 

@@ -214,6 +214,32 @@ def test_licences_on_other_wordings():
     assert got[-1][3] == 3 and got[-2][0] == 0
 
 
+SAID = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "Licensed under the GNU General Public License, version 2.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary", "SPDX-License-Identifier: MIT": "mit", "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License.": "cc-by-sa"}
+
+
+@pytest.fixture(scope="module")
+def scanner(spark):
+    paragraphs = licences.sampled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 2000)
+    return licences.train(paragraphs), [w for p in paragraphs for w in p.split()]
+
+
+def test_licences_inside_long_paragraphs(scanner):
+    model, words = scanner
+    r = np.random.default_rng(2)
+    for k in (0, 10, 25, 50, 200, 1000, 5000):
+        texts = []
+        for said in SAID:
+            around = list(r.choice(words, k))
+            cut = int(r.integers(0, k + 1))
+            texts.append(" ".join([*around[:cut], said, *around[cut:]]))
+        got = licences.scanned(pa.array(texts), model)
+        print(k, [g[2] for g in got])
+        assert [g[2] for g in got] == [[f] for f in SAID.values()]
+    wrapped = licences.TEMPLATES["bsd"][4].split()
+    got = licences.scanned(pa.array([f"{' '.join(words[:80])}\n# {' '.join(wrapped[:7])}\n# {' '.join(wrapped[7:])}\n{' '.join(words[80:160])}", " ".join(words[:3000])]), model)
+    assert [g[2] for g in got] == [["bsd"], []]
+
+
 def test_warc_stream(spark, tmp_path):
     big = bytes(range(256)) * 5000
     rows = [(1, "http://a/1", bytearray(big)), (2, None, bytearray(b"x")), (3, "http://a/\r\nb", None), (None, "http://a/4", bytearray(b"WARC/1.0\r\n\r\n")), (5, "http://é/5", bytearray()), (1, "http://a/1", bytearray(big))]
