@@ -240,6 +240,14 @@ def test_licences_inside_long_paragraphs(scanner):
     assert [g[2] for g in got] == [["bsd"], []]
 
 
+def test_licences_of_a_line_with_two(scanner):
+    cases = {
+        "Licensed under the MIT License or the Apache License, Version 2.0, at your option.": ["apache", "mit"], "Released under the MIT License. Licensed under the Apache License, Version 2.0.": ["apache", "mit"],
+        "Dual licensed under the MIT License and the GNU General Public License, version 2.": ["gpl", "mit"], "This library is licensed under the GNU Lesser General Public License, version 3.": ["lgpl"],
+    }
+    assert [g[2] for g in licences.scanned(pa.array(list(cases)), scanner[0])] == list(cases.values())
+
+
 def test_warc_stream(spark, tmp_path):
     big = bytes(range(256)) * 5000
     rows = [(1, "http://a/1", bytearray(big)), (2, None, bytearray(b"x")), (3, "http://a/\r\nb", None), (None, "http://a/4", bytearray(b"WARC/1.0\r\n\r\n")), (5, "http://é/5", bytearray()), (1, "http://a/1", bytearray(big))]
