@@ -48,15 +48,17 @@ RULES = (
     Rule("few_stop_words", "stop_word_ratio", low=0.05, least_words=30),
     Rule("repeated_lines", "repeated_line_ratio", high=0.4),
 )
-METRICS = ("n_words", "n_lines", "mean_word_chars", "symbol_ratio", "exclaim_ratio", "stop_word_ratio", "repeated_line_ratio")
+#: With runs of a word within lines, which sql() lacks: op7_quality_rules is held against sql() and has RULES.
+ALL_RULES = (*RULES, Rule("repeated_words", "repeated_word_ratio", high=0.2, least_words=10))
+METRICS = ("n_words", "n_lines", "mean_word_chars", "symbol_ratio", "exclaim_ratio", "stop_word_ratio", "repeated_line_ratio", "repeated_word_ratio")
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """The metric columns of a text column."""
+def metrics(text: Column, rules: tuple[Rule, ...]) -> dict[str, Column]:
+    """The metric columns of a text column; repeated_word_ratio, the share of words equal to the one before, only if a rule has it."""
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(F.lower(t), "[ \\t\\n\\r]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
@@ -64,7 +66,7 @@ def metrics(text: Column) -> dict[str, Column]:
     n_words, n_lines = F.size(words), F.size(lines)
     without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     stop = F.size(F.filter(words, lambda w: w.isin(STOP_WORDS)))
-    return {
+    found = {
         "n_words": n_words.cast("long"),
         "n_lines": n_lines.cast("long"),
         "mean_word_chars": _ratio(solid, n_words),
@@ -73,6 +75,11 @@ def metrics(text: Column) -> dict[str, Column]:
         "stop_word_ratio": _ratio(stop, n_words),
         "repeated_line_ratio": _ratio(n_lines - F.size(F.array_distinct(lines)), n_lines),
     }
+    if any(r.metric == "repeated_word_ratio" for r in rules):
+        before = F.slice(words, 1, F.greatest(n_words - 1, F.lit(0)))
+        same = F.zip_with(F.slice(words, 2, F.greatest(n_words - 1, F.lit(0))), before, lambda a, b: a == b)
+        found["repeated_word_ratio"] = _ratio(F.size(F.filter(same, lambda x: x)), n_words)
+    return found
 
 
 def broken(rule: Rule, get=F.col) -> Column:
@@ -85,16 +92,16 @@ def broken(rule: Rule, get=F.col) -> Column:
     return bad & (get("n_words") >= rule.least_words) if rule.least_words else bad
 
 
-def apply(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def apply(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
     """df with the metrics, `failed` and `keep`."""
-    out = df.withColumns(metrics(F.col(text)))
+    out = df.withColumns(metrics(F.col(text), rules))
     failed = F.concat_ws(",", *(F.when(broken(r), F.lit(r.name)) for r in rules))
     return out.withColumn("failed", failed).withColumn("keep", F.col("failed") == "")
 
 
-def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def accepted(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
     """The rows of df that break no rule, with the columns of df."""
-    out = df.withColumns({f"__{k}": c for k, c in metrics(F.col(text)).items()})
+    out = df.withColumns({f"__{k}": c for k, c in metrics(F.col(text), rules).items()})
     failed = F.concat_ws(",", *(F.when(broken(r, lambda k: F.col(f"__{k}")), F.lit(r.name)) for r in rules))
     # the row number keeps the condition above the projection, where every metric is computed once
     out = out.withColumn("__failed", failed).withColumn("__row", F.monotonically_increasing_id())

@@ -39,7 +39,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality_rules.apply(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality_rules.RULES).drop("text")
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,14 @@ def test_quality_rules_edges(docs):
     assert {(3, "too_few_words"), (4, "too_few_words"), (5, "too_few_words"), (1, ""), (9, "")} <= got
 
 
+def test_quality_rules_on_runs_of_a_word(spark):
+    runs = ["Der " * 50, "the x50 " + "to " * 15 + "the end", "a good line of the text\n" + "the " * 3000]
+    good = ["the cat sat on the mat and that that he said was had had by all of the others", "no no", "", "the"]
+    df = spark.createDataFrame(list(enumerate(runs + good)), "doc_id long, text string")
+    assert {r.doc_id: r.failed for r in quality_rules.apply(df).select("doc_id", "failed").collect()} == {0: "repeated_words", 1: "repeated_words", 2: "repeated_words", 3: "", 4: "", 5: "too_few_words", 6: ""}
+    assert {r.doc_id for r in quality_rules.accepted(df).collect()} == {3, 4, 6}
+
+
 def test_exact_dedup_edges_collisions_and_huge(docs):
     kept = exact_dedup.without_copies(docs).select("doc_id", "text").collect()
     assert len(kept) == len({r.text or "" for r in kept}) == len({t or "" for _, t in ROWS})
