@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
@@ -21,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "folder" not in _local:
         _local["folder"] = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, _local["folder"], ignore_errors=True)
     return f"file://{_local['folder']}"
 
 
@@ -50,6 +52,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, names) -> list[str]:
+    """The columns of df but those of the given names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """SHA-256 of doc_id and text, which tells rows apart; null and empty texts are one, a null doc_id is none of the others."""
+    name = F.col(doc_id).cast("string")
+    head = F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), name), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(head, F.coalesce(F.col(text), F.lit(""))), 256))
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; counting must be cheap (a written table)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -17,7 +17,8 @@ Defined results: a null text gives null ids, spans and text; an empty text gives
 lists; an id outside the vocabulary or a null id is an error for its row: its text is
 null. Special tokens' strings in a text are ordinary text. Texts are encoded whole,
 however long. Repeated rows are encoded each on its own; an empty table gives an empty
-table. Columns of the input with the name of an added column are replaced.
+table. Columns of the input with the name of an added column, in any case, are replaced;
+others may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import mapped
+from ._io import fresh, mapped, without
 
 SLICE = 2 << 20
 CACHED = 1_000_000
@@ -213,7 +214,8 @@ def _adder(path: str, keep: int, round_trip: bool, names: list[str]):
 
 
 def _with_text(df: DataFrame, text: str, added: list[str]) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in added), F.col(text).alias("__text"))
+    (name,) = fresh(df, "__text")
+    return df.select(*(F.col(f"`{c}`") for c in without(df, added)), F.col(f"`{text}`").alias(name))
 
 
 def _schema(df: DataFrame, more: str) -> str:

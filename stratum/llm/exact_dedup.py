@@ -15,7 +15,8 @@ copies (rows with this text) and is_copy (false for one row of each text).
 Defined results: a null text counts as empty, and all empty texts are copies of each
 other; a null doc_id sorts last, so it is first_id only if the whole group is null;
 rows equal in doc_id and text are copies too, all but one marked. An empty table gives
-an empty table. Other columns take no part and may have any name.
+an empty table. Other columns take no part and may have any name. Rows are told apart by
+row_key, the SHA-256 of doc_id and text; no row is dropped on a shorter hash.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import mapped, materialise, sized
+from ._io import fresh, identity, mapped, materialise, sized
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003337, 1540483477)
@@ -141,11 +142,10 @@ def _print_chunks(primes):
 
 def printed(df: DataFrame, primes=PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
     """doc_id, row_key, h1, h2, n_bytes of every row."""
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    rows = df.select("doc_id", key.alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    small = mapped(rows.where(F.octet_length("text") <= huge), _print_texts(primes), f"{_id(df)}, row_key long, h1 long, h2 long, n_bytes long")
-    chunks = mapped(rows.where(F.octet_length("text") > huge), _split_texts(2), f"{_id(df)}, row_key long, chunk_no long, chunk binary")
-    hashed = mapped(chunks.repartition("row_key", "chunk_no"), _print_chunks(primes), f"{_id(df)}, row_key long, chunk_no long, h1 long, h2 long, size long")
+    rows = df.select("doc_id", identity().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    small = mapped(rows.where(F.octet_length("text") <= huge), _print_texts(primes), f"{_id(df)}, row_key binary, h1 long, h2 long, n_bytes long")
+    chunks = mapped(rows.where(F.octet_length("text") > huge), _split_texts(2), f"{_id(df)}, row_key binary, chunk_no long, chunk binary")
+    hashed = mapped(chunks.repartition("row_key", "chunk_no"), _print_chunks(primes), f"{_id(df)}, row_key binary, chunk_no long, h1 long, h2 long, size long")
     # rows equal in doc_id and text give equal chunk rows: divide their number out, then fold high chunks first
     distinct = hashed.groupBy("doc_id", "row_key", "chunk_no").agg(F.count("*").alias("times"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("size").alias("size"))
     folded = distinct.groupBy("doc_id", "row_key").agg(F.max("times").alias("times"), F.sum("size").alias("n_bytes"), F.reverse(F.array_sort(F.collect_list(F.struct("chunk_no", "h1", "h2")))).alias("c"))
@@ -165,7 +165,7 @@ def mark(df: DataFrame, primes=PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
     same = ["h1", "h2", "n_bytes"]
     groups = materialise(prints.groupBy(same).agg(F.count("*").alias("n"), F.countDistinct("row_key").alias("keys")).where("keys > 1"), "candidates")
     wanted = materialise(prints.join(groups.select(same), same, "left_semi").select("row_key", *same).distinct(), "wanted")
-    texts = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"), "text").join(sized(wanted), "row_key").select(*same, "text")
+    texts = df.select(identity().alias("row_key"), "text").join(sized(wanted), "row_key").select(*same, "text")
     chunks = mapped(texts, _split_texts(3), "h1 long, h2 long, n_bytes long, chunk_no long, chunk binary")
     contents = chunks.groupBy(*same, "chunk_no", "chunk").agg(F.lit(1).alias("one"))
     collided = materialise(contents.groupBy(*same, "chunk_no").agg(F.count("*").alias("n")).where("n > 1").select(same).distinct(), "collided")
@@ -173,8 +173,8 @@ def mark(df: DataFrame, primes=PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
     whole = Window.partitionBy(*same, "part")
     rows = prints.withColumn("part", F.lit(None).cast("string"))
     if not collided.isEmpty():
-        keys = prints.join(F.broadcast(collided), same, "left_semi").select("row_key").distinct()
-        parts = df.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"), F.coalesce("text", F.lit("")).alias("part")).join(keys, "row_key", "left_semi").distinct()
+        keys = prints.join(sized(collided), same, "left_semi").select("row_key").distinct()
+        parts = df.select(identity().alias("row_key"), F.coalesce("text", F.lit("")).alias("part")).join(keys, "row_key", "left_semi").distinct()
         rows = prints.join(parts, "row_key", "left")
     return rows.select(
         "doc_id", "row_key",
@@ -192,14 +192,15 @@ def report(df: DataFrame) -> DataFrame:
 def without_copies(df: DataFrame, primes=PRIMES, huge: int = HUGE_BYTES) -> DataFrame:
     """The rows of df without copies: of each text the row of least doc_id, with the columns of df."""
     copies = materialise(mark(df, primes, huge).where("is_copy").select("doc_id", "row_key", "first_id"), "copies")
-    keyed = df.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    again = copies.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("row_key").distinct()
-    away = copies.where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("row_key").alias("__key"))
-    kept = keyed.join(sized(away), "__key", "left_anti")
+    (key,) = fresh(df, "__key")
+    keyed = df.withColumn(key, identity())
+    again = copies.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("row_key").alias(key)).distinct()
+    away = copies.where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("row_key").alias(key))
+    kept = keyed.join(sized(away), key, "left_anti")
     if not again.isEmpty():  # rows equal in doc_id and text
-        again = again.withColumnRenamed("row_key", "__key")
-        kept = kept.join(sized(again), "__key", "left_anti").unionByName(kept.join(sized(again), "__key", "left_semi").dropDuplicates(["__key"]))
-    return kept.select(df.columns)
+        again = sized(again)
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def sql(table: str = "documents") -> str:

@@ -15,16 +15,19 @@ as in a short one. The classifier is a softmax regression on the buckets whose s
 documents differs between a class and the rest by a z score of at least TELLING. As a
 short text holds few of them, whatever its domain, the biases are fitted for each shape:
 LENGTHS powers of two of the number of words by DISTINCT steps of the share of distinct
-buckets; a shape without labelled rows has the biases of all. It is fitted on at most `most` labelled documents (the bound is a parameter); everything else
-covers every document.
+buckets; a shape without labelled rows has the biases of all. It is fitted on at most
+`most` labelled documents (the bound is a parameter); everything else covers every
+document. solve() ends when totals are within `close` of the targets, when a step gains
+less than a thousandth of the error, or after `most_steps` steps (a parameter); it
+returns what was reached beside what was wanted, whichever ended it.
 
 Defined results: null and empty texts have no tokens, the posterior of a text without
 words, and add nothing to any total. Without labelled rows every posterior is uniform.
 Repeated rows are documents each. Targets that can't be met are met as nearly as least
 squares allows. An empty table gives an empty table. sample() keeps a row if a hash of
 doc_id and text, as a number in [0, 1), is below its rate; it never repeats rows, so
-rates above 1 act as 1 there. Other columns take no part; in apply(), input columns
-with the name of an added column are replaced.
+rates above 1 act as 1 there. Rows are told apart by the SHA-256 of doc_id and text.
+Other columns take no part and may have any name.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import mapped, materialise, sized
+from ._io import fresh, identity, mapped, materialise, sized
 from ._labelled import sample as labelled
 
 DOMAINS = ("clean", "low", "toxic")
@@ -152,9 +155,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     """doc_id, row_key, n_tokens and a posterior for each domain, of every row; written once."""
     fitted = model(docs, labels, most)
     fitted = docs.sparkSession.sparkContext.broadcast(fitted) if fitted else None
-    rows = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"), "text")
+    rows = docs.select("doc_id", identity().alias("row_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = mapped(rows, _posterior(fitted), f"doc_id {kind}, row_key long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    out = mapped(rows, _posterior(fitted), f"doc_id {kind}, row_key binary, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
     return materialise(out, "posteriors")
 
 
@@ -168,7 +171,7 @@ def _rate(steps: list[np.ndarray], cap: float):
     return F.aggregate(rows, F.lit(1.0), lambda acc, s: F.least(F.greatest(moved(acc, s), F.lit(0.0)), F.lit(float(cap))))
 
 
-def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, cap: float = 4.0, most: int = 25, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, cap: float = 4.0, most_steps: int = 25, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps, reached totals and wanted totals.
 
     total: the tokens of the mixture; if None, as many as the domain of most weight has
@@ -199,7 +202,7 @@ def solve(table: DataFrame, targets: dict[str, float], total: float | None = Non
     scale = max(total, 1.0)
     size = 1.0
     gain = 1.0
-    while len(steps) < most and np.abs(got - want).max() > close * scale and size > 1e-3 and gain > 1e-3:
+    while len(steps) < most_steps and np.abs(got - want).max() > close * scale and size > 1e-3 and gain > 1e-3:
         ridge = 1e-6 * max(np.trace(gram), 1.0)
         step = size * np.linalg.solve(gram + ridge * np.eye(k), want - got)
         new, new_gram = measure([*steps, step])
@@ -223,6 +226,6 @@ def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     """The rows of docs that their rates keep, with the columns of docs."""
     rated = rates(docs, labels, targets, 1.0, None, most)
     draw = F.shiftrightunsigned(F.xxhash64("row_key", F.lit(seed)), 11).cast("double") / float(1 << 53)
-    away = materialise(rated.where(draw >= F.col("rate")).select(F.col("row_key").alias("__key")).distinct(), "left-out")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return keyed.join(sized(away), "__key", "left_anti").select(docs.columns)
+    (key,) = fresh(docs, "__key")
+    away = materialise(rated.where(draw >= F.col("rate")).select(F.col("row_key").alias(key)).distinct(), "left-out")
+    return docs.withColumn(key, identity()).join(sized(away), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,14 +7,15 @@ context vectors, weighted against common words by a / (a + frequency). A two-lay
 network in numpy maps it to a logit; a temperature chosen on held-out labelled rows
 calibrates the probability.
 
-Context vectors are accumulated per input partition into one matrix of fixed size and
-added up in two levels by groups of rows; the sum (a few MB, whatever the corpus) goes
-to the driver and back. The network is fitted on at most `max_labelled` labelled
+Context vectors are accumulated per input partition into one matrix of fixed size, of
+which the row blocks that have words are added up in a tree of groups of FAN; the sum (a
+few MB, whatever the corpus) goes to the driver and back. The network is fitted on at most `max_labelled` labelled
 documents (the bound is a parameter); counts and vectors cover every document.
 
 Defined results: null, empty and blank texts have the zero vector. Texts are read whole.
 Without labelled rows, or with one class only, every probability is that class's share
-(0.5 without labels). Repeated rows are scored each; an empty table gives an empty
+(0.5 without labels). Rows with a null doc_id are scored like others but are never
+fitted on. Repeated rows are scored each; an empty table gives an empty
 table. Other columns take no part.
 """
 
@@ -38,6 +39,7 @@ WIDTH = 64
 NONZERO = 2
 WINDOW = 2
 ROWS = 1024
+FAN = 64
 COMMON = 1e-3
 MAX_LABELLED = 8000
 SLICE = 1 << 20
@@ -78,7 +80,9 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = accumulate(b.column(0).slice(x, y - x) for b in batches for x, y in T.slices(b.column(0), 4 * SLICE))
     part = TaskContext.get().partitionId()
     for k in range(0, 1 << BITS, ROWS):
-        yield pa.record_batch([pa.array([k]), pa.array([part]), pa.array([total[k : k + ROWS].astype(np.int32 if total.max(initial=0) < 2**30 else np.int64).tobytes()])], ["first", "part", "sums"])
+        rows = total[k : k + ROWS]
+        if rows[:, WIDTH].any():  # buckets without a word have no context either
+            yield pa.record_batch([pa.array([k]), pa.array([part]), pa.array([rows.astype(np.int32 if np.abs(rows).max() < 2**30 else np.int64).tobytes()])], ["first", "part", "sums"])
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -86,7 +90,7 @@ def _add(table: pa.Table) -> pa.Table:
     for x in table.column("sums"):
         data = x.as_buffer()
         total += np.frombuffer(data, np.int32 if len(data) == total.size * 4 else np.int64)
-    return pa.table({"first": [table.column("first")[0].as_py()], "part": [0], "sums": [total.tobytes()]})
+    return pa.table({"first": [table.column("first")[0].as_py()], "part": [table.column("part")[0].as_py()], "sums": [total.tobytes()]})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -94,11 +98,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     schema = "first long, part long, sums binary"
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     parts = mapped(text, _partials, schema)
-    fan = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-    added = parts.withColumn("part", F.col("part") % fan).groupBy("first", "part").applyInArrow(_add, schema).groupBy("first").applyInArrow(_add, schema)
+    # groups of about FAN matrices are added, then groups of FAN sums, until one is left
+    left = (docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    added = parts
+    while left > 1:
+        left = -(-left // FAN)
+        added = added.withColumn("part", F.col("part") % left).groupBy("first", "part").applyInArrow(_add, schema)
     out = np.zeros((1 << BITS, WIDTH + 1))
     for row in added.collect():
-        out[row.first : row.first + ROWS] = np.frombuffer(row.sums, np.int64).reshape(ROWS, -1)
+        out[row.first : row.first + ROWS] += np.frombuffer(row.sums, np.int64 if len(row.sums) == ROWS * (WIDTH + 1) * 8 else np.int32).reshape(ROWS, -1)
     share = out[:, WIDTH] / max(out[:, WIDTH].sum(), 1)
     norm = np.linalg.norm(out[:, :WIDTH], axis=1)
     return (out[:, :WIDTH] / np.maximum(norm, 1)[:, None] * (COMMON / (COMMON + share))[:, None]).astype(np.float32)

@@ -13,8 +13,9 @@ values lie outside.
 
 Defined results: the order is by doc_id, nulls last, then by a hash of the whole row;
 rows equal in every column are interchangeable, each gets its own number. An empty
-table gives an empty table. Null or very long texts change nothing. Input columns with
-the name of an added column are replaced.
+table gives an empty table. Null or very long texts change nothing. Columns may be of any
+type, maps and variants too (these are hashed as JSON), and have any name; input columns
+with the name of an added column, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import remove, scratch_path
+from ._io import fresh, scratch_path, without
 
 PRIME = 2147483647
 ADDED = ("row_number", "position", "shard", "slot")
@@ -91,6 +92,12 @@ def permuted(index: Column, n: int, seed: int) -> Column:
     return F.transform(F.array(start), lambda at: at["l"] * s + at["r"])[0]
 
 
+def _hashable(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.simpleString()
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+
 def number_rows(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     """df with `row_number`, and the number of rows.
 
@@ -100,28 +107,26 @@ def number_rows(df: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     task can't shift numbers.
     """
     spark = df.sparkSession
-    columns = [c for c in df.columns if c not in ADDED]
-    tie = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    columns = without(df, ADDED)
+    tie, part, at, first = fresh(df, "__tie", "__part", "__at", "__first")
+    order = [F.col(f"`{key}`").asc_nulls_last(), F.col(tie)]
     path = scratch_path(spark, "numbered")
     (
-        df.select(columns).withColumn("__tie", tie)
-        .repartitionByRange(F.col(key).asc_nulls_last(), F.col("__tie"))
-        .sortWithinPartitions(F.col(key).asc_nulls_last(), F.col("__tie"))
-        .drop("__tie")
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        df.select(*(F.col(f"`{c}`") for c in columns)).withColumn(tie, F.xxhash64(*(_hashable(df, c) for c in columns)))
+        .repartitionByRange(*order).sortWithinPartitions(*order).drop(tie)
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         .write.parquet(path)
     )
-    written = spark.read.schema("__part int, __at long").parquet(path)
-    counts = sorted(tuple(r) for r in written.groupBy("__part").agg(F.count("*")).collect())
-    first, total = {}, 0
-    for part, count in counts:
-        first[part] = total
+    written = spark.read.schema(f"{part} int").parquet(path)
+    counts = sorted(tuple(r) for r in written.groupBy(part).agg(F.count("*")).collect())
+    starts, total = [], 0
+    for number, count in counts:
+        starts.append((number, total))
         total += count
-    rows = spark.read.parquet(path)
-    offsets = spark.createDataFrame(list(first.items()) or [(0, 0)], "__part int, __first long")
-    numbered = rows.join(F.broadcast(offsets), "__part").withColumn("row_number", F.col("__first") + F.col("__at"))
-    return numbered.select(*columns, "row_number"), total
+    offsets = spark.createDataFrame(starts or [(0, 0)], f"{part} int, {first} long")
+    numbered = spark.read.parquet(path).join(F.broadcast(offsets), part).withColumn("row_number", F.col(first) + F.col(at))
+    return numbered.select(*(F.col(f"`{c}`") for c in columns), "row_number"), total
 
 
 def apply(df: DataFrame, shards: int, seed: int = 0, key: str = "doc_id") -> DataFrame:

@@ -14,9 +14,13 @@ header, read back as null. Control characters in header values are percent-encod
 Rows equal in page_id, url and payload give records of the same record_id, each with its
 own rows. A block that ends before its Content-Length has `complete` false in its last
 row; bytes between records that start no record are skipped. `valid` in the last row
-tells whether the declared block digest agrees (null if none is declared). A header
-beyond HEADER_BYTES is an error of that file: ValueError. An empty table gives no files
-and no rows. Other columns take no part.
+tells whether the declared block digest agrees (null if none is declared). Damage ends no
+job: after a gzip member that can't be read, or bytes after a member that start none,
+reading goes on at the next member; the record it cut has `complete` false, and damage
+outside of any record gives a row of no bytes without record_id, `complete` false. A
+header beyond HEADER_BYTES gives such a row too, and what follows is skipped up to the
+next record. A Content-Length that isn't ASCII digits counts as 0. An empty table gives
+no files and no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -40,57 +44,86 @@ CHUNK = 1 << 16
 BLOCK = 1 << 18
 HEADER_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
+MEMBER = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
-def inflated(blocks: Iterable[bytes]) -> Iterator[bytes]:
-    """The bytes of a plain or gzip stream, in pieces of at most BLOCK bytes when gzip."""
+def inflated(blocks: Iterable[bytes]) -> Iterator[bytes | None]:
+    """The bytes of a plain or gzip stream, in pieces of at most BLOCK bytes when gzip; None where damaged bytes were left out."""
     blocks = iter(blocks)
     head = b""
     for block in blocks:
         head += block
         if len(head) >= 2:
             break
-    if head[:2] != b"\x1f\x8b":
+    if head[:2] != MEMBER[:2]:
         yield head
         yield from blocks
         return
-    unpack, data = zlib.decompressobj(31), head
+    unpack, data, lost, begun = zlib.decompressobj(31), head, False, True
     while True:
         while data:
-            if piece := unpack.decompress(data, BLOCK):
+            if unpack is None:  # between members: padding, a member, or bytes to skip
+                data = data.lstrip(b"\0") if not lost else data
+                at = 0 if MEMBER.startswith(data[: len(MEMBER)]) else data.find(MEMBER)
+                if data and not lost and at != 0:
+                    lost = True
+                    yield None
+                if len(data) < len(MEMBER) or at < 0:
+                    data = data[-(len(MEMBER) - 1) :]
+                    break
+                unpack, data, lost, begun = zlib.decompressobj(31), data[at:], False, False
+            try:
+                piece = unpack.decompress(data, BLOCK)
+            except zlib.error:
+                if not lost:
+                    yield None
+                # a member that fails at once starts at bytes that only look like one
+                unpack, data, lost = None, (data if begun else data[1:]), True
+                continue
+            begun = True
+            if piece:
                 yield piece
             data = unpack.unconsumed_tail
             if unpack.eof:
-                data = unpack.unused_data
-                unpack = zlib.decompressobj(31)
-                if data and data[:1] != b"\x1f":  # padding after the last member
-                    data = data.lstrip(b"\0")
-        data = next(blocks, None)
-        if data is None:
+                data, unpack = unpack.unused_data, None
+        more = next(blocks, None)
+        if more is None:
             return
+        data += more
 
 
 class Stream:
     """Lines and byte runs of an iterator of blocks, through one small buffer."""
 
-    def __init__(self, blocks: Iterable[bytes]):
-        self.blocks, self.data, self.at = iter(blocks), b"", 0
+    def __init__(self, blocks: Iterable[bytes | None]):
+        self.blocks, self.data, self.at, self.gap = iter(blocks), b"", 0, False
 
     def more(self) -> bool:
-        block = next(self.blocks, None)
+        """Read on; False at the end, and at a gap until it is passed."""
+        block = None if self.gap else next(self.blocks, b"")
         if block is None:
-            return False
-        self.data, self.at = self.data[self.at :] + block, 0
-        return True
+            self.gap = True
+        elif block:
+            self.data, self.at = self.data[self.at :] + block, 0
+            return True
+        return False
+
+    def passed(self) -> bool:
+        """Whether there was a gap; what was left before it is dropped."""
+        had, self.gap = self.gap, False
+        if had:
+            self.at = len(self.data)
+        return had
 
     def line(self) -> bytes | None:
-        """The next line without its end, None at the end of the stream."""
+        """The next line without its end, None at the end of the stream or at a gap; ValueError for one beyond HEADER_BYTES, of which that much is dropped."""
         low = 0
         while (stop := self.data.find(b"\n", self.at + low)) < 0:
             low = len(self.data) - self.at
             if low > HEADER_BYTES:
+                self.at = len(self.data)
                 raise ValueError(f"a header line of more than {HEADER_BYTES} bytes")
             if not self.more():
                 rest, self.at = self.data[self.at :], len(self.data)
@@ -99,7 +132,7 @@ class Stream:
         return out.rstrip(b"\r")
 
     def take(self, n: int) -> bytes:
-        """The next n bytes, fewer at the end of the stream."""
+        """The next n bytes, fewer at the end of the stream or at a gap."""
         while len(self.data) - self.at < n and self.more():
             pass
         out = self.data[self.at : self.at + n]
@@ -108,8 +141,12 @@ class Stream:
 
 
 def _headers(stream: Stream) -> dict[str, str] | None:
+    """The next record's header; ValueError if it is too long."""
     while True:
-        line = stream.line()
+        try:
+            line = stream.line()
+        except ValueError:  # bytes between records
+            continue
         if line is None:
             return None
         if line.startswith(b"WARC/"):
@@ -130,22 +167,37 @@ def _headers(stream: Stream) -> dict[str, str] | None:
     return out
 
 
+_DAMAGE = ({}, 0, 0, b"", hashlib.sha1().hexdigest(), True, False, None)
+
+
 def records(blocks: Iterable[bytes], chunk: int = CHUNK) -> Iterator[tuple]:
     """(headers, chunk_no, start, chunk, digest, last, complete, valid) of every chunk of every record."""
     stream = Stream(inflated(blocks))
-    while (head := _headers(stream)) is not None:
+    while True:
+        try:
+            head = _headers(stream)
+        except ValueError:
+            yield _DAMAGE
+            continue
+        if head is None:
+            if not stream.passed():
+                return
+            yield _DAMAGE
+            continue
         length = head.get("content-length", "0")
-        left = int(length) if length.isdigit() else 0
+        left = int(length) if length.isascii() and length.isdigit() else 0
         state, number, start = hashlib.sha1(), 0, 0
         while True:
             data = stream.take(min(chunk, left))
             state.update(data)
             left -= len(data)
-            short = len(data) == 0 and left > 0
+            short = (len(data) == 0 and left > 0) or (stream.gap and left == 0 and length == "0" and "content-length" not in head)
             if left == 0 or short:
                 declared = head.get("warc-block-digest")
                 valid = None if declared is None else declared == f"sha1:{base64.b32encode(state.digest()).decode()}"
                 yield head, number, start, data, state.hexdigest(), True, not short, valid
+                if short:
+                    stream.passed()
                 break
             yield head, number, start, data, state.hexdigest(), False, True, None
             number, start = number + 1, start + len(data)
@@ -168,8 +220,8 @@ def _reader(chunk: int):
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
                 for head, number, start, data, digest, last, complete, valid in records(_blocks(path), chunk):
-                    name = head.get("warc-record-id", "")
-                    rows.append((path, name[1:-1] if name[:1] == "<" else name, head.get("warc-type"), head.get("warc-target-uri"), head.get("x-page-id"), number, start, data, digest, last, complete, valid))
+                    name = head.get("warc-record-id")
+                    rows.append((path, name[1:-1] if name and name[0] == "<" else name, head.get("warc-type"), head.get("warc-target-uri"), head.get("x-page-id"), number, start, data, digest, last, complete, valid))
                     size += len(data) + 256
                     if size > BATCH_BYTES:
                         yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], schema=_KINDS)
