@@ -7,8 +7,9 @@ plan is one scan and one projection.
 Defined results: a null text counts as empty; an empty or blank text has no words,
 every ratio is 0 and only `too_few_words` fails; ratios that need a longer text to
 mean anything have `least_words`, below which the rule passes. Very long texts are
-measured whole. Repeated rows are judged alike, each on its own. Columns of the input
-that have the name of an added column are replaced.
+measured whole and no rule is about size. Repeated rows are judged alike, each on its
+own. In apply(), columns of the input that have the name of an added column, in any
+case, are replaced; accepted() returns the columns of df, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import fresh, without
+
 SYMBOLS = "#$%&*|<>{}[]\\~^=_@+"
 STOP_WORDS = (
     "the of and a to in is that with for on it was as at by this are be from "
@@ -40,7 +43,6 @@ class Rule:
 
 RULES = (
     Rule("too_few_words", "n_words", low=1),
-    Rule("too_many_words", "n_words", high=5_000_000),
     Rule("word_length_low", "mean_word_chars", low=2.0, least_words=20),
     Rule("word_length_high", "mean_word_chars", high=12.0, least_words=20),
     Rule("symbols", "symbol_ratio", high=0.05),
@@ -57,29 +59,42 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
 
 
-def metrics(text: Column, rules: tuple[Rule, ...]) -> dict[str, Column]:
-    """The metric columns of a text column; repeated_word_ratio, the share of words equal to the one before, only if a rule has it."""
+def _class(chars: str) -> str:
+    return "[" + "".join("\\" + c for c in chars) + "]"
+
+
+def parts(text: Column) -> dict[str, Column]:
+    """What metrics() counts in: the text, its words in lower case and its lines."""
     t = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(t), "[ \\t\\n\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-    solid = F.length(F.translate(t, " \t\n\r", ""))
-    n_words, n_lines = F.size(words), F.size(lines)
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    stop = F.size(F.filter(words, lambda w: w.isin(STOP_WORDS)))
-    found = {
-        "n_words": n_words.cast("long"),
-        "n_lines": n_lines.cast("long"),
-        "mean_word_chars": _ratio(solid, n_words),
-        "symbol_ratio": _ratio(without(SYMBOLS), solid),
-        "exclaim_ratio": _ratio(without("!?"), solid),
-        "stop_word_ratio": _ratio(stop, n_words),
-        "repeated_line_ratio": _ratio(n_lines - F.size(F.array_distinct(lines)), n_lines),
+    flat = F.lower(t)
+    for c in "\t\n\r":
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    return {"text": t, "words": F.array_remove(F.split(flat, " "), ""), "lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")}
+
+
+def counts(t: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """What is counted in parts()."""
+    stripped = lambda chars: F.length(t) - F.length(F.regexp_replace(t, _class(chars), ""))
+    return {
+        "n_words": F.size(words).cast("long"), "n_lines": F.size(lines).cast("long"),
+        "solid": F.length(F.regexp_replace(t, "[ \\t\\n\\r]+", "")), "symbols": stripped(SYMBOLS), "exclaims": stripped("!?"),
+        "stops": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))), "distinct": F.size(F.array_distinct(lines)),
+        "again": F.size(F.filter(words, lambda w, i: w.eqNullSafe(F.get(words, i - 1)))),
+    }
+
+
+def metrics(n: dict[str, Column]) -> dict[str, Column]:
+    """The metric columns of counts()."""
+    return {
+        "n_words": n["n_words"],
+        "n_lines": n["n_lines"],
+        "mean_word_chars": _ratio(n["solid"], n["n_words"]),
+        "symbol_ratio": _ratio(n["symbols"], n["solid"]),
+        "exclaim_ratio": _ratio(n["exclaims"], n["solid"]),
+        "stop_word_ratio": _ratio(n["stops"], n["n_words"]),
+        "repeated_line_ratio": _ratio(n["n_lines"] - n["distinct"], n["n_lines"]),
+        "repeated_word_ratio": _ratio(n["again"], n["n_words"]),
     }
-    if any(r.metric == "repeated_word_ratio" for r in rules):
-        before = F.slice(words, 1, F.greatest(n_words - 1, F.lit(0)))
-        same = F.zip_with(F.slice(words, 2, F.greatest(n_words - 1, F.lit(0))), before, lambda a, b: a == b)
-        found["repeated_word_ratio"] = _ratio(F.size(F.filter(same, lambda x: x)), n_words)
-    return found
 
 
 def broken(rule: Rule, get=F.col) -> Column:
@@ -92,20 +107,44 @@ def broken(rule: Rule, get=F.col) -> Column:
     return bad & (get("n_words") >= rule.least_words) if rule.least_words else bad
 
 
+def _measured(df: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[DataFrame, dict[str, str], str]:
+    """df with the metrics and the names of broken rules under temporary names, and these.
+
+    Three projections, one on another: parts, counts and ratios. What the next one uses
+    more than once is made once, as the optimizer then doesn't merge them.
+    """
+
+    def added(df: DataFrame, columns: dict[str, Column]) -> tuple[DataFrame, dict[str, str]]:
+        to = dict(zip(columns, fresh(df, *(f"__{c}" for c in columns)), strict=True))
+        return df.withColumns({to[c]: x for c, x in columns.items()}), to
+
+    own = [F.col(f"`{c}`") for c in df.columns]
+    df, at = added(df, parts(F.col(f"`{text}`")))
+    found = counts(*(F.col(at[k]) for k in ("text", "words", "lines")))
+    wanted = [m for m in METRICS if m != "repeated_word_ratio" or any(r.metric == m for r in rules)]
+    if "repeated_word_ratio" not in wanted:
+        del found["again"]
+    df, at = added(df, found)
+    made = metrics({k: F.col(at[k]) if k in at else F.lit(0) for k in ("n_words", "n_lines", "solid", "symbols", "exclaims", "stops", "distinct", "again")})
+    df, to = added(df.select(*own, *(F.col(c) for c in at.values())), {m: made[m] for m in wanted})
+    df, failed = added(df, {"failed": F.concat_ws(",", *(F.when(broken(r, lambda k: F.col(to[k])), F.lit(r.name)) for r in rules))})
+    return df, to, failed["failed"]
+
+
 def apply(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
     """df with the metrics, `failed` and `keep`."""
-    out = df.withColumns(metrics(F.col(text), rules))
-    failed = F.concat_ws(",", *(F.when(broken(r), F.lit(r.name)) for r in rules))
-    return out.withColumn("failed", failed).withColumn("keep", F.col("failed") == "")
+    out, names, failed = _measured(df, rules, text)
+    own = [F.col(f"`{c}`") for c in without(df, [*names, "failed", "keep"])]
+    return out.select(*own, *(F.col(n).alias(m) for m, n in names.items()), F.col(failed).alias("failed"), (F.col(failed) == "").alias("keep"))
 
 
 def accepted(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
     """The rows of df that break no rule, with the columns of df."""
-    out = df.withColumns({f"__{k}": c for k, c in metrics(F.col(text), rules).items()})
-    failed = F.concat_ws(",", *(F.when(broken(r, lambda k: F.col(f"__{k}")), F.lit(r.name)) for r in rules))
+    out, _, failed = _measured(df, rules, text)
     # the row number keeps the condition above the projection, where every metric is computed once
-    out = out.withColumn("__failed", failed).withColumn("__row", F.monotonically_increasing_id())
-    return out.where("__failed = '' AND __row >= 0").select(*(F.col(f"`{c}`") for c in df.columns))
+    (row,) = fresh(out, "__row")
+    out = out.withColumn(row, F.monotonically_increasing_id())
+    return out.where((F.col(failed) == "") & (F.col(row) >= 0)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
