@@ -52,7 +52,7 @@ def test_edge_rows_and_empty_tables(spark, docs, empty, labels):
     ):
         assert call(docs).count() == rows
         assert call(empty).count() == 0
-    for call in (ngram_join.pairs, quality_rules.accepted, exact_dedup.without_copies, ngram_join.one_of_each, lambda d: mixing.sample(d, labels)):
+    for call in (ngram_join.report, quality_rules.accepted, exact_dedup.without_copies, ngram_join.one_of_each, lambda d: mixing.sample(d, labels)):
         assert call(docs).count() > 0 and call(empty).count() == 0
     assert quality_rules.accepted(docs).columns == docs.columns and exact_dedup.without_copies(docs).columns == docs.columns
     for call in (quality_rules.accepted, exact_dedup.without_copies, ngram_join.one_of_each, lambda d: mixing.sample(d, labels)):
@@ -103,9 +103,33 @@ def _grams(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_ngram_join_is_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+def _classes(texts, n, t):
+    """class, links and copies of every text, by brute force."""
+    sets = [frozenset(_grams(x or "", n)) for x in texts]
+    distinct = list(dict.fromkeys(s for s in sets if s))
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    links = dict.fromkeys(distinct, 0)
+    for a, b in itertools.combinations(distinct, 2):
+        if len(a & b) >= t * len(a | b):
+            links[a], links[b] = links[a] + 1, links[b] + 1
+            root[find(b)] = find(a)
+    first: dict = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(find(s), i)
+    return [(first[find(s)], links[s], sets.count(s)) if s else (i, 0, 1) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("tile,hot", [(2048, 10**9), (8, 10**9), (2048, 4)])
+def test_ngram_join_is_brute_force(spark, monkeypatch, tile, hot):
+    for name, value in (("TILE", tile), ("HOT_ROWS", hot), ("FREQUENT", 64 if hot > 9 else 2)):
+        monkeypatch.setattr(ngram_join, name, value)
     r = np.random.default_rng(3)
     words = [f"w{i}" for i in range(40)]
     base = [list(r.choice(words, 40)) for _ in range(12)]
@@ -115,23 +139,22 @@ def test_ngram_join_is_brute_force(spark, monkeypatch, tile):
         for _ in range(int(r.integers(0, 6))):
             t[int(r.integers(0, 40))] = str(r.choice(words))
         texts.append(" ".join(t))
-    texts += ["", "one two", "one two", "one two three"]
-    sets = [_grams(t, 3) for t in texts]
-    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and len(sets[i] & sets[j]) >= 0.4 * len(sets[i] | sets[j])}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = ngram_join.pairs(df, 3, 0.4).collect()
-    least = {}
-    for i, s in enumerate(sets):
-        least.setdefault(frozenset(s), i)
-    first = [least[frozenset(s)] for s in sets]
-    assert {(x.doc_a, x.doc_b) for x in got} == {(i, j) for i, j in want if (first[i] == i and first[j] == j) or first[j] == i}
-    parent = list(range(len(texts)))
-    find = lambda x: x if parent[x] == x else find(parent[x])
-    for i, j in sorted(want):
-        a, b = find(i), find(j)
-        parent[max(a, b)] = min(a, b)
-    kept = {x.doc_id for x in ngram_join.one_of_each(df, 3, 0.4).collect()}
-    assert kept == {i for i in range(len(texts)) if find(i) == i}
+    texts += ["", "one two", "one two", "one two three", None, texts[5], texts[5], texts[5]]
+    texts += [" ".join([*words[:16], *(f"u{i}-{j}" for j in range(12 - i % 9))]) for i in range(30)]
+    want = _classes(texts, 3, 0.4)
+    df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {int(x.doc_id): (int(x.class_id), x.links, x.copies) for x in ngram_join.report(df, 3, 0.4).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = {int(x.doc_id) for x in ngram_join.one_of_each(df, 3, 0.4).collect()}
+    assert kept == {i for i, (c, _, _) in enumerate(want) if c == i}
+
+
+def test_ngram_join_links_no_rows_that_share_boilerplate_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngram_join, "components", lambda edges, f=ngram_join.components: seen.append(edges.count()) or f(edges))
+    head = " ".join(f"b{i}" for i in range(16))
+    df = spark.range(3000).selectExpr("id AS doc_id", f"concat('{head} ', array_join(transform(sequence(1, 12 + id % 5), j -> concat('u', id, '-', j)), ' ')) AS text")
+    assert ngram_join.report(df).where("links > 0 OR copies > 1 OR class_id <> doc_id").count() == 0 and seen[0] == 0
 
 
 def test_chat_masks_are_brute_force(spark):
