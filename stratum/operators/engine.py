@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.types import Refused
@@ -16,7 +16,7 @@ from stratum.sources import writer
 from stratum.warehouse import Warehouse
 
 EVENTS = ("analytics", "events")
-_FIELDS = (("event_id", "INT64", False), ("ts", "TIMESTAMP"), ("user_id", "INT64"), ("event_type", "STRING"), ("value", "FLOAT64"))
+_FIELDS = (("event_id", "INT64", False), ("ts", "TIMESTAMP"), ("user_id", "INT64"), ("event_type", "STRING"), ("value", "FLOAT64"), ("props", "STRING"))
 
 
 def warehouse(spark: SparkSession) -> Warehouse:
@@ -27,11 +27,20 @@ def warehouse(spark: SparkSession) -> Warehouse:
             raise Refused("no_shared_folder", "set spark.checkpoint.dir")
         shared = tempfile.mkdtemp(prefix="stratum-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    return Warehouse(spark, f"{shared.rstrip('/')}/warehouse-{uuid.uuid4().hex}")
+    made = Warehouse(spark, f"{shared.rstrip('/')}/warehouse-{uuid.uuid4().hex}")
+    atexit.register(_gone, made)
+    return made
+
+
+def _gone(w: Warehouse) -> None:
+    try:
+        w.files.delete("")
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 def filled(spark: SparkSession, sf_dir: str, parts: int = 4, **options) -> Warehouse:
@@ -72,14 +81,74 @@ def membership_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(steps, "step string, n long")
 
 
-def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pruned(spark: SparkSession, sf_dir: str, by: str, sql: str) -> DataFrame:
+    """A query over eight segments clustered by a column, with whether every use of the table read fewer."""
     w = warehouse(spark)
-    w.create(EVENTS, *_FIELDS, clustering=("event_id",))
-    for s in writer.write(events(spark, sf_dir), w.catalog.schema(EVENTS), w.files, "analytics/events", outputs=8):
-        w.catalog.register(EVENTS, [s])
-    plan = w.planner.plan("SELECT event_id, value FROM analytics.events WHERE event_id BETWEEN 100 AND 160")
+    w.create(EVENTS, *_FIELDS, clustering=(by,))
+    w.catalog.register(EVENTS, writer.write(events(spark, sf_dir), w.catalog.schema(EVENTS), w.files, "analytics/events", outputs=8))
+    plan = w.planner.plan(sql)
     scanned = plan.statistics["analytics.events"]
-    return plan.df.withColumn("pruned", F.lit(scanned["sealed_files"] < scanned["sealed_files_total"]))
+    return plan.df.withColumn("pruned", F.lit(scanned["sealed_files"] < scanned["sealed_files_total"] / 2))
+
+
+_BETWEEN = "SELECT event_id, value FROM {0} WHERE event_id BETWEEN 100 AND 160"
+_TIME = "SELECT event_id, ts FROM {0} WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00'"
+_LIST = "SELECT event_id, value FROM {0} WHERE event_id IN (3, 40, 41)"
+_NESTED = "WITH a AS (SELECT event_id AS i, user_id FROM {0}), b AS (SELECT * FROM (SELECT event_id, value FROM {0}) s WHERE s.event_id < 50) SELECT a.i, b.value FROM a JOIN b ON a.i = b.event_id WHERE a.i BETWEEN 10 AND 60"
+
+
+def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir, "event_id", _BETWEEN.format("analytics.events"))
+
+
+def pruned_scan_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir, "ts", _TIME.format("analytics.events"))
+
+
+def pruned_scan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pruned(spark, sf_dir, "event_id", _LIST.format("analytics.events"))
+
+
+def pruned_scan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two uses of a table, by a common table expression and a subquery, each pruned by its own conditions."""
+    return _pruned(spark, sf_dir, "event_id", _NESTED.format("analytics.events"))
+
+
+def log_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer and a reader that fell behind a checkpoint of the log, and go on."""
+    w = warehouse(spark)
+    w.create(EVENTS, *_FIELDS)
+    rows = events(spark, sf_dir)
+    part = lambda i: rows.where(F.pmod("event_id", F.lit(3)) == i)
+    w.ingest.commit(EVENTS, part(0))
+    late = Warehouse(spark, w.files.root)
+    late.table(EVENTS)
+    w.ingest.commit(EVENTS, part(1))
+    w.manifest(EVENTS).log.checkpoint()
+    w.catalog.log.checkpoint()
+    late.ingest.commit(EVENTS, part(2))
+    return Warehouse(spark, w.files.root).table(EVENTS)
+
+
+def parquet_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of many files loaded into several segments."""
+    w = warehouse(spark)
+    w.create(EVENTS, *_FIELDS)
+    folder = w.files.path("_in/parquet")
+    events(spark, sf_dir).repartition(20).write.parquet(folder)
+    w.maintenance.target = w.files.size(folder) // 5
+    w.ingest.load(EVENTS, folder, "parquet")
+    return w.table(EVENTS).withColumn("several", F.lit(len(w.manifest(EVENTS).entries()) > 3))
+
+
+def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand small requests at once: few segments, every row once."""
+    w = warehouse(spark)
+    ref = w.create(("analytics", "small"), ("id", "INT64", False), ("name", "STRING"))
+    acks = [w.ingest.submit(ref, f'{{"id": {i}, "name": "n{i}"}}', f"b{i}") for i in range(1000)]
+    again = [w.ingest.submit(ref, f'{{"id": {i}, "name": "n{i}"}}', f"b{i}") for i in range(0, 1000, 10)]
+    assert sum(a.result().inserted for a in acks) == 1000 and all(a.result().repeated for a in again)
+    return w.table(ref).withColumn("few", F.lit(len(w.manifest(ref).entries()) <= 20))
 
 
 def schema_evolution_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +207,7 @@ def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w.create(EVENTS, *_FIELDS)
     folder = w.files.path("_in/ndjson")
     rows = events(spark, sf_dir)
-    rows.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value")).alias("value")).unionAll(spark.createDataFrame([('{"event_id": "x", "other": 1}',), ("not json",), ("",)], "value string")).write.text(folder)
+    rows.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props")).alias("value")).unionAll(spark.createDataFrame([('{"event_id": "x", "other": 1}',), ("not json",), ("",)], "value string")).write.text(folder)
     ack = w.ingest.load(EVENTS, folder, batch_id="one")
     assert len(ack.errors) == 2 and w.ingest.load(EVENTS, folder, batch_id="one").repeated
     return w.table(EVENTS)
@@ -146,21 +215,27 @@ def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = warehouse(spark)
-    ref = w.create(("analytics", "customers"), ("c_custkey", "INT64", False), ("c_name", "STRING"), ("c_acctbal", "NUMERIC(18,2)"))
+    ref = w.create(("analytics", "customers"), ("c_custkey", "INT64", False), ("c_name", "STRING"), ("c_nationkey", "INT64"), ("c_acctbal", "NUMERIC(18,2)"), ("c_mktsegment", "STRING"))
     folder = w.files.path("_in/csv")
-    spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_name", "CAST(c_acctbal AS DECIMAL(18,2)) AS c_acctbal").write.csv(folder, header=True)
+    spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")).write.csv(folder, header=True)
     w.ingest.load(ref, folder, "csv")
     return w.table(ref)
 
 
+def _json() -> Column:
+    return F.to_json(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props")).alias("value")
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spool of NDJSON files through Structured Streaming into the hot tier."""
+    """Two spools of NDJSON files, each its own stream with its own checkpoint, into the hot tier; bad lines go to the table of rejects."""
     w = warehouse(spark)
     w.create(EVENTS, *_FIELDS)
-    spool = w.files.path("_in/spool")
-    events(spark, sf_dir).select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value")).repartition(4).write.text(spool)
-    w.ingest.stream(EVENTS, spool, w.files.path("_in/marks"), maxFilesPerTrigger=2).awaitTermination()
-    return w.table(EVENTS).select("event_id", "user_id", "event_type")
+    for i in range(2):
+        spool = w.files.path(f"_in/spool{i}")
+        events(spark, sf_dir).where(F.pmod("event_id", F.lit(2)) == i).select(_json()).repartition(2).unionAll(spark.createDataFrame([("not json",)], "value string")).write.text(spool)
+        w.ingest.stream(EVENTS, spool, w.files.path(f"_in/marks{i}"), maxFilesPerTrigger=2).awaitTermination()
+    assert w.table(w.ingest.rejects(EVENTS)).count() == 2
+    return w.table(EVENTS)
 
 
 def partial_final_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,19 +250,25 @@ def partial_final_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("s").cast("double").alias("total"), F.min("least").alias("least"))
 
 
-_PLAIN = "SELECT event_id, ts, user_id, event_type, value FROM events"
+_PLAIN = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 SQL = {
     "two_tier_union": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total, min(ts) AS first FROM events WHERE event_id >= 10 GROUP BY event_type ORDER BY n DESC LIMIT 10",
     "membership_rule": "SELECT step, (SELECT count(*) FROM events) AS n FROM (VALUES ('hot'), ('claimed'), ('merged'), ('registered'), ('retired'), ('reaped')) t(step)",
-    "pruned_scan": "SELECT event_id, value, true AS pruned FROM events WHERE event_id BETWEEN 100 AND 160",
+    "pruned_scan": f"SELECT *, true AS pruned FROM ({_BETWEEN.format('events')})",
+    "pruned_scan_ts": f"SELECT *, true AS pruned FROM ({_TIME.format('events')})",
+    "pruned_scan_in": f"SELECT *, true AS pruned FROM ({_LIST.format('events')})",
+    "pruned_scan_nested": f"SELECT *, true AS pruned FROM ({_NESTED.format('events')})",
+    "log_checkpoint": _PLAIN,
+    "parquet_load": f"SELECT *, true AS several FROM ({_PLAIN})",
+    "group_commit": "SELECT range AS id, 'n' || range AS name, true AS few FROM range(0, 1000)",
     "schema_evolution_pad": "SELECT event_id, CAST(NULL AS VARCHAR) AS note FROM events UNION ALL SELECT -1, 'new'",
     "seal_merge": _PLAIN,
     "compaction_equivalence": f"SELECT *, 1 AS files FROM ({_PLAIN})",
     "retention_segment_drop": "SELECT event_id FROM events WHERE ts >= (SELECT date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) FROM events)",
     "dedupe_manifest": "SELECT CAST(3 AS BIGINT) AS entries, CAST(3 AS BIGINT) AS claimed, (SELECT count(*) FROM events) AS row_total",
     "ndjson_roundtrip": _PLAIN,
-    "csv_roundtrip": "SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal FROM customer",
-    "stream_ingest": "SELECT event_id, user_id, event_type FROM events",
+    "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, CAST(c_acctbal AS DECIMAL(18, 2)) AS c_acctbal, c_mktsegment FROM customer",
+    "stream_ingest": _PLAIN,
     "partial_final_equivalence": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total, min(value) AS least FROM events GROUP BY event_type",
 }
 

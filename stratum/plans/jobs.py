@@ -43,6 +43,28 @@ def _plain(x):
     return str(x) if isinstance(x, Decimal) else x
 
 
+def _figures(plan) -> list[dict]:
+    """Operators of a plan that ran, from the top, with their depth and what they counted."""
+    out, todo = [], [(plan, 0)]
+    while todo:
+        node, depth = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append((node.executedPlan(), depth))
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append((node.plan(), depth))
+            continue
+        counted, entries = {}, node.metrics().iterator()
+        while entries.hasNext():
+            pair = entries.next()
+            if (value := pair._2().value()) > 0:
+                counted[pair._1()] = value
+        out.append({"operator": node.nodeName(), "depth": depth, **counted})
+        todo += [(node.children().apply(i), depth + 1) for i in range(node.children().size())]
+    return out
+
+
 class Jobs:
     def __init__(self, warehouse, most: int = 8, max_rows: int = 10_000, ttl: float = 300):
         self.w, self.most, self.max_rows, self.ttl = warehouse, most, max_rows, ttl
@@ -78,8 +100,11 @@ class Jobs:
                 job.explain = plan.df._jdf.queryExecution().explainString(self.w.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
             if explain != "plan" and job.state == "running":
                 at = time.monotonic()
-                result = plan.df.limit(self.max_rows + 1).toArrow()
+                limited = plan.df.limit(self.max_rows + 1)
+                result = limited.toArrow()
                 job.trace["run_ms"] = round((time.monotonic() - at) * 1000, 2)
+                if explain == "analyze":
+                    job.trace["operators"] = _figures(limited._jdf.queryExecution().executedPlan())
                 if result.num_rows > self.max_rows:
                     raise Refused("result_too_large", f"more than {self.max_rows} rows")
                 if job.state == "running":
@@ -100,7 +125,13 @@ class Jobs:
     def _stop(self, job: Job, state: str) -> None:
         if not job.done.is_set() and job.state in ("pending", "running"):
             job.state = state
+            threading.Thread(target=self._cancelled, args=(job,), daemon=True).start()
+
+    def _cancelled(self, job: Job) -> None:
+        """Cancel its Spark jobs until it is over: one may start just after the others were cancelled."""
+        while not job.done.is_set():
             self.w.spark.sparkContext.cancelJobsWithTag(job.id)
+            job.done.wait(0.2)
 
     def _forget(self) -> None:
         edge = time.time() - self.ttl

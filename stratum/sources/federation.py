@@ -36,6 +36,8 @@ class Federation:
     def drop(self, name: str) -> None:
         self.w.catalog.put_connection(name, None)
         self.secrets.pop(name, None)
+        for key in ("", ".url", ".user", ".password", ".driver"):
+            self.w.spark.conf.unset(f"spark.sql.catalog.{name}{key}")
 
     def probe(self, name: str, query: str = "SELECT 1") -> None:
         """Reads one row; Refused with a message without secrets if it can't."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
@@ -15,6 +15,8 @@ from stratum.functions.types import Refused, Schema
 
 from .files import Files
 
+#: Bytes of a row group before it is closed: point lookups on clustered tables skip the others.
+ROW_GROUP = 16 << 20
 CODECS = {"zstd", "snappy", "gzip", "lz4", "lz4_raw", "uncompressed", "none"}
 
 
@@ -28,12 +30,11 @@ def _plain(value):
     return value if isinstance(value, (int, float, str, bool)) else None
 
 
-def footer(path: str) -> dict:
+def footer(files: Files, path: str) -> dict:
     """rows, bytes and min, max and nulls of the columns, from the footer alone; a column without full statistics is left out."""
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    with fs.open_input_file(name) as f:
-        size = f.size()
-        meta = pq.ParquetFile(f).metadata
+    size, source = files.end(path)
+    with source:
+        meta = pq.ParquetFile(source).metadata
     stats: dict[str, dict] = {}
     for i in range(meta.num_columns):
         column = meta.schema.column(i).path
@@ -67,15 +68,20 @@ def write(df: DataFrame, schema: Schema, files: Files, folder: str, name: str |
     if keys:
         rows = rows.sortWithinPartitions(*keys)
     staging = f"_staging/{uuid.uuid4().hex}"
-    rows.write.option("compression", codec).parquet(files.path(staging))
-    out = []
-    for i, part in enumerate(n for n in files.names(staging) if n.startswith("part-")):
-        path = files.path(f"{staging}/{part}")
-        about = footer(path)
-        if about["rows"]:
-            key = f"{folder}/{name if name and not i else ids.generate()}.parquet"
-            if not files.move(path, key):  # the same name is the same content: a repeated attempt
-                about = footer(files.path(key))
-            out.append({"key": key, **about})
+    rows.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(files.path(staging))
+
+    def placed(item: tuple[int, str]) -> dict | None:
+        path = files.path(f"{staging}/{item[1]}")
+        about = footer(files, path)
+        if not about["rows"]:
+            return None
+        key = f"{folder}/{name if name and not item[0] else ids.generate()}.parquet"
+        if not files.move(path, key):  # the same name is the same content: a repeated attempt
+            about = footer(files, files.path(key))
+        return {"key": key, **about}
+
+    parts = list(enumerate(n for n in files.names(staging) if n.startswith("part-")))
+    with ThreadPoolExecutor(min(16, max(len(parts), 1))) as pool:
+        out = [x for x in pool.map(placed, parts) if x]
     files.delete(staging)
     return out

@@ -32,8 +32,11 @@ def coerced(f: Field, kind: Column, text: Column) -> Column:
     return F.when(number | (string & text.rlike(_NUMBER)), text.try_cast(f.spark))
 
 
-def checked(lines: DataFrame, schema: Schema) -> DataFrame:
-    """index, errors (every problem of the row) and the typed columns of lines (index, line).
+LINE = "__carried"
+
+
+def checked(lines: DataFrame, schema: Schema, carried: str) -> DataFrame:
+    """index, errors (every problem of the row), a column of lines as LINE, and the typed columns of lines (index, line).
 
     Numbers outside a type's range are errors; NUMERIC rounds digits beyond its scale.
     """
@@ -53,7 +56,7 @@ def checked(lines: DataFrame, schema: Schema) -> DataFrame:
     unknown = F.transform(F.array_sort(F.array_except("__keys", F.array(*(F.lit(n) for n in schema.names)))), lambda k: F.concat(k, F.lit(": unknown column")))
     found = F.concat(F.array_compact(F.array(*problems)), unknown)
     errors = F.when(F.col("__object"), found).otherwise(F.array(F.lit("not a JSON object")))
-    return parsed.select("index", errors.alias("errors"), *values)
+    return parsed.select(F.col("index"), errors.alias("errors"), F.col(carried).alias(LINE), *values)
 
 
 def numbered(lines: DataFrame) -> DataFrame:
