@@ -1,22 +1,25 @@
 """License scans: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line that isn't blank. Letters A-Z count as lower case and ASCII signs
-other than letters and digits as spaces. Features are word 1- and 2-grams hashed into
-2**BITS buckets, weighted 1 / sqrt(number of words). A multinomial logistic regression
-with an L1 penalty (few weights stay) is fitted on cut, thinned and padded versions of
-the template sentences of every family, and for the class `unknown` on a bounded sample
-of the corpus' own paragraphs, near-miss sentences and shuffled template words. A
-temperature and an offset of the unknown class are chosen on held-out rows. A family
-predicted with a probability of LEAST or more counts if at least CONFIRM of the
-paragraph's word 3-grams (of the whole paragraph if it has fewer words) occur in that
-family's templates, or if a window of the paragraph as long as a template sentence holds that
-share of the sentence's 3-grams (a sentence inside a longer paragraph).
-
-As the words around a sentence dilute a paragraph's score, windows as long as a template
-sentence are scored too, wherever one holds CONFIRM of a sentence's 3-grams, in
-paragraphs joined over single line breaks. Of windows whose matched words overlap, the
-one of most matched 3-grams counts; each that is left gives its family if the classifier
-predicts it with LEAST or more, so a line with two licenses gives both.
+A paragraph is a run of lines without a blank line between. Letters A-Z count as lower
+case and ASCII signs other than letters and digits as spaces. Features are word 1- and
+2-grams hashed into 2**BITS buckets, weighted 1 / sqrt(number of words). A multinomial
+logistic regression with an L1 penalty (few weights stay) is fitted on labelled sentences
+that this module makes, none of them from the corpus: cut, thinned and padded versions of
+the template sentences of every family, its NAMES in usual FORMS, and for the class
+`unknown` made-up words, made-up names in the same forms, near-miss sentences and
+shuffled template words. A temperature and an offset of the unknown class are chosen on
+held-out rows, so the model is the same for every corpus.
+
+A family predicted for a paragraph with a probability of LEAST or more counts if at least
+CONFIRM of the paragraph's word 3-grams (of the whole paragraph if it has fewer words)
+occur in that family's templates, or if a window of the paragraph as long as a template
+sentence holds that share of the sentence's 3-grams.
+
+As the words around a sentence dilute a paragraph's score, windows are scored too: those
+as long as a template sentence that hold CONFIRM of its 3-grams, and those that are a
+name in one of the forms, or a name of several words, word by word. Of windows whose
+matched words overlap, the longest counts; each that is left gives its family if the
+classifier predicts it with LEAST or more, so a line with two licenses gives both.
 
 scan() gives every document: family (of the most probable confirmed paragraph, "none"
 without one), families (all confirmed, sorted), paragraph (its number from 0), its
@@ -24,13 +27,14 @@ probability and containment, and how many predictions weren't confirmed.
 
 Defined results: null, empty and blank texts have no paragraphs. Texts are read whole,
 however long. Ties go to the first paragraph. Repeated rows are scanned each; an empty
-table gives an empty table. Other columns take no part. Without any document the unknown
-class is fitted on the near-miss and shuffled sentences alone.
+table gives an empty table. doc_id may be null. Other columns take no part and may have
+any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,6 @@ from ._io import mapped
 
 BITS = 17
 LEAST, CONFIRM = 0.5, 0.6
-MAX_SAMPLED = 2000
 UNKNOWN = "unknown"
 
 TEMPLATES = {
@@ -89,6 +92,16 @@ TEMPLATES = {
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under the Creative Commons Attribution-NonCommercial License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc0": ("Released under CC0 1.0.", "Dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
     "unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"),
+    "cc-by-nd": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+    "cc-by-nc-sa": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"),
+    "cc-by-nc-nd": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "SPDX-License-Identifier: Zlib"),
+    "artistic": ("This library is free software; you may redistribute it under the terms of the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"),
+    "cddl": ("The contents of this file are subject to the terms of the Common Development and Distribution License.", "SPDX-License-Identifier: CDDL-1.0"),
+    "eupl": ("Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"),
+    "wtfpl": ("Do what the fuck you want to public license.", "SPDX-License-Identifier: WTFPL"),
     "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "This document is confidential and proprietary. Unauthorized copying is strictly prohibited.", "Copyright by the author. All rights reserved."),
 }
 NEAR_MISSES = (
@@ -99,8 +112,36 @@ NEAR_MISSES = (
     "Version 3 of the report was released under pressure.", "Mozilla was founded as a community.", "The creative commons of the town is a meadow.",
     "Students of MIT released their robots.", "All rights of the people shall be protected by law.", "A general public discussion of the GNU was held at the zoo.",
 )
+#: Of each family, names as they are written after folding.
+NAMES = {
+    "mit": "mit|mit license|mit licence|expat license", "apache": "apache license|apache 2 0|apache license 2 0|apache license version 2 0|apache software license|apache v2|apache 2",
+    "bsd": "bsd|bsd license|bsd style license|bsd 3 clause|bsd 2 clause|3 clause bsd|2 clause bsd|3 clause bsd license|2 clause bsd license|bsd 3 clause license|bsd 2 clause license|new bsd license|simplified bsd license|modified bsd license",
+    "gpl": "gpl|gnu gpl|gplv2|gplv3|gpl v2|gpl v3|gpl 2|gpl 3|gpl version 2|gpl version 3|gpl 2 0|gpl 3 0|gnu gpl v2|gnu gpl v3|gnu gplv2|gnu gplv3|gnu general public license|gnu general public license v2|gnu general public license v3|gnu general public license version 2|gnu general public license version 3",
+    "lgpl": "lgpl|gnu lgpl|lgplv2|lgplv3|lgpl v2 1|lgpl v3|lgpl 2 1|lgpl 3 0|gnu lesser general public license|lesser general public license|gnu library general public license", "agpl": "agpl|gnu agpl|agplv3|agpl v3|agpl 3 0|gnu affero general public license|affero general public license",
+    "mpl": "mpl|mpl 2 0|mpl 1 1|mozilla public license|mozilla public license 2 0|mozilla public license version 2 0", "isc": "isc|isc license", "epl": "epl|epl 2 0|epl 1 0|eclipse public license|eclipse public license 2 0|eclipse public license v 2 0|eclipse public license version 2 0|eclipse public license v2 0",
+    "cc-by": "cc by|cc by 4 0|cc by 3 0|creative commons attribution|creative commons attribution license|creative commons attribution 4 0|creative commons attribution 4 0 international|creative commons attribution 3 0", "cc-by-sa": "cc by sa|cc by sa 4 0|cc by sa 3 0|creative commons attribution sharealike|creative commons attribution share alike|creative commons attribution sharealike 4 0",
+    "cc-by-nc": "cc by nc|cc by nc 4 0|cc by nc 3 0|creative commons attribution noncommercial|creative commons attribution non commercial|creative commons attribution noncommercial 4 0", "cc-by-nd": "cc by nd|cc by nd 4 0|creative commons attribution noderivatives|creative commons attribution no derivatives",
+    "cc-by-nc-sa": "cc by nc sa|cc by nc sa 4 0|creative commons attribution noncommercial sharealike", "cc-by-nc-nd": "cc by nc nd|cc by nc nd 4 0|creative commons attribution noncommercial noderivatives", "cc0": "cc0|cc0 1 0|cc0 1 0 universal|creative commons zero", "unlicense": "unlicense|the unlicense",
+    "boost": "boost software license|boost license|bsl 1 0", "zlib": "zlib license|zlib libpng license", "artistic": "artistic license|artistic license 2 0|perl artistic license", "cddl": "cddl|cddl 1 0|common development and distribution license", "eupl": "eupl|eupl 1 2|european union public licence", "wtfpl": "wtfpl",
+}
+FORMS = (
+    "licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "distributed under {}", "distributed under the {}", "available under {}", "available under the {}", "published under the {}",
+    "under the terms of {}", "under the terms of the {}", "license {}", "licence {}", "license identifier {}", "licensed {}", "{} licensed", "is {} licensed", "covered by the {}", "governed by the {}", "subject to the {}", "use is subject to the {}",
+)
 FAMILIES = (*TEMPLATES, UNKNOWN)
 
+
+def forms(family: str) -> dict[str, str]:
+    """Names in forms as they are matched, word by word, and a sentence with each to fit on."""
+    out = {}
+    for name in filter(None, NAMES.get(family, "").split("|")):
+        for form in FORMS:
+            out[form.format(name)] = form.format(name)
+        if " " in name:
+            out[name] = name
+    return out
+
+
 class Words:
     """The words of the paragraphs of a string array: hashes, paragraph of each word, document of each paragraph."""
 
@@ -111,13 +152,12 @@ class Words:
         edges = edges[edges < len(raw)]
         starts, ends, line = T.words(raw, np.r_[edges, len(raw)])
         self.hashes = T.span_hashes(raw, starts, ends)
-        new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)  # blank lines are no paragraphs
-        self.paragraph = np.cumsum(new) - 1
-        self.document = np.searchsorted(offsets, edges[line[new]], "right") - 1
+        new = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)  # blank lines hold no words
+        document = np.searchsorted(offsets, edges[line[new]], "right") - 1
+        apart = np.r_[True, (np.diff(line[new]) > 1) | (np.diff(document) > 0)] if len(document) else np.zeros(0, bool)
+        self.paragraph = np.repeat(np.cumsum(apart) - 1, np.diff(np.r_[np.flatnonzero(new), len(line)]))
+        self.document = document[apart]
         self.counts = np.bincount(self.paragraph, minlength=len(self.document))
-        apart = np.diff(line[new], prepend=-2) > 1
-        apart[1:] |= np.diff(self.document) > 0
-        self.block = (np.cumsum(apart) - 1)[self.paragraph] if len(line) else line  # paragraphs without a blank line between
 
     @classmethod
     def spans(cls, words: Words, starts: np.ndarray, ends: np.ndarray) -> Words:
@@ -149,17 +189,22 @@ class Model:
         self.place, self.weights, self.bias, self.temperature = np.zeros(1 << BITS, np.int32), np.zeros((1, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES)), 1.0
         self.sentences: list[tuple[int, np.ndarray, int]] = []
         self.grams: dict[int, np.ndarray] = {}
-        self.patterns: list[tuple[int, np.ndarray, int]] = []
+        #: family, 3-grams (or the one 2-gram), words, and whether all of them must be there
+        self.patterns: list[tuple[int, np.ndarray, int, bool]] = []
         for k, family in enumerate(TEMPLATES):
             words = Words(pa.array(TEMPLATES[family]))
             grams, owner = T.ngrams(words.hashes, words.paragraph, 3)
             self.grams[k] = np.unique(grams)
             for i in range(len(TEMPLATES[family])):
                 self.sentences.append((k, np.unique(grams[owner == i]), int(words.counts[i])))
-            parts = Words(pa.array(sorted({x for t in TEMPLATES[family] for x in (t, *t.split(". "))})))
-            grams, owner = T.ngrams(parts.hashes, parts.paragraph, 3)
-            self.patterns += [(k, np.unique(grams[owner == i]), int(n)) for i, n in enumerate(parts.counts) if n >= 3]
-        self.known = np.unique(np.concatenate([g for _, g, _ in self.patterns]))
+            for texts, exact in ((sorted({x for t in TEMPLATES[family] for x in (t, *t.split(". "))}), False), (sorted(forms(family)), True)):
+                if not texts:
+                    continue
+                parts = Words(pa.array(texts))
+                for n in (2, 3):
+                    grams, owner = T.ngrams(parts.hashes, parts.paragraph, n)
+                    self.patterns += [(k, np.unique(grams[owner == i]), int(c), exact) for i, c in enumerate(parts.counts) if (c == 2 if n == 2 else c >= 3)]
+        self.known = [np.unique(np.concatenate([g for _, g, c, _ in self.patterns if (c == 2) == (n == 2)])) for n in (2, 3)]
 
     def logits(self, words: Words) -> np.ndarray:
         bucket, of = words.pairs()
@@ -231,25 +276,37 @@ class Model:
 
     def windows(self, words: Words) -> list[tuple[int, int, float, float]]:
         """Paragraph of the first word, family, probability and containment of every confirmed window."""
-        size = np.bincount(words.block)[words.block] if len(words.block) else words.block
-        long = np.flatnonzero(size >= 3)
-        if not len(long):
-            return []
-        block = words.block[long]
-        grams, _ = T.ngrams(words.hashes[long], block, 3)
-        at = long[:-2][block[2:] == block[:-2]]  # the first word of every 3-gram
-        hit = np.isin(grams, self.known)
-        grams, at = grams[hit], at[hit]
-        close = np.searchsorted(words.block, words.block[at], "right")  # where the block ends
         found = []
-        for k, sentence, n in self.patterns:
-            own = np.isin(grams, sentence)
-            g, start, end = grams[own], at[own], close[own]
-            to = np.searchsorted(start, np.minimum(start + n, end) - 3, "right")
-            for i in np.flatnonzero(to - np.arange(len(g)) >= CONFIRM * len(sentence)):
-                matched = len(np.unique(g[i : to[i]]))
-                if matched >= CONFIRM * len(sentence):
-                    found.append((-matched, -matched / len(sentence), int(start[i]), int(start[to[i] - 1]) + 3, int(min(start[i] + n, end[i])), k))
+        for size, known in zip((2, 3), self.known, strict=True):
+            of = words.paragraph
+            if len(of) < size:
+                continue
+            grams, _ = T.ngrams(words.hashes, np.zeros(len(of), np.int64), size)
+            at = np.flatnonzero(of[size - 1 :] == of[: len(of) - size + 1])  # the first word of every gram
+            grams = grams[at]
+            hit = np.isin(grams, known)
+            grams, at = grams[hit], at[hit]
+            if not len(at):
+                continue
+            order = np.argsort(grams, kind="stable")
+            by, first = np.unique(grams[order], return_index=True)
+            close = np.searchsorted(of, of[at], "right")  # where the paragraph ends
+            for k, sentence, n, exact in self.patterns:
+                if (n == 2) != (size == 2):
+                    continue
+                places = np.searchsorted(by, sentence)
+                places = places[(places < len(by)) & (by[np.minimum(places, len(by) - 1)] == sentence)]
+                share = 1.0 if exact else CONFIRM
+                if len(places) < share * len(sentence):
+                    continue
+                own = np.sort(np.concatenate([order[first[i] : first[i + 1] if i + 1 < len(by) else len(order)] for i in places]))
+                g, start, end = grams[own], at[own], close[own]
+                to = np.searchsorted(start, np.minimum(start + n, end) - size, "right")
+                for i in np.flatnonzero(to - np.arange(len(g)) >= share * len(sentence)):
+                    matched = len(np.unique(g[i : to[i]]))
+                    if matched >= share * len(sentence):
+                        last = int(start[to[i] - 1]) + size
+                        found.append((int(start[i]) - last, -matched / len(sentence), int(start[i]), last, int(min(start[i] + n, end[i])), k))
         taken, kept = np.zeros(len(words.hashes), bool), []
         for x in sorted(found):
             if not taken[x[2] : x[3]].any():
@@ -264,10 +321,17 @@ class Model:
         return [(int(words.paragraph[start[i]]), int(family[i]), float(p[i]), float(-share[i])) for i in np.flatnonzero(p >= LEAST)]
 
 
-def examples(paragraphs: list[str], seed: int = 5, each: int = 16) -> tuple[list[str], list[int]]:
-    """Paragraphs and classes to fit on."""
+def _made_up(r: np.random.Generator, n: int) -> list[str]:
+    """Words of random letters."""
+    return ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), int(r.integers(3, 10)))) for _ in range(n)]
+
+
+def examples(seed: int = 5, each: int = 16) -> tuple[list[str], list[int]]:
+    """Sentences and classes to fit on; the same ones every time."""
     r = np.random.default_rng(seed)
-    filler = [w for p in paragraphs[:500] for w in p.split()[:40]] or "lorem ipsum dolor sit amet consectetur".split()
+    common = [w for t in NEAR_MISSES for w in t.split()]
+    filler = [*_made_up(r, 4000), *common * 5]
+    pick = lambda words, n: [words[i] for i in r.integers(0, len(words), n)]
     texts, classes = [], []
     for k, family in enumerate(TEMPLATES):
         for sentence in TEMPLATES[family]:
@@ -282,37 +346,29 @@ def examples(paragraphs: list[str], seed: int = 5, each: int = 16) -> tuple[list
                     part = [w for w in words if r.random() > 0.08]
                 if i % 4 == 3:  # within other words
                     before, after = r.integers(0, 12, 2)
-                    part = [*r.choice(filler, before), *words, *r.choice(filler, after)]
+                    part = [*pick(filler, before), *words, *pick(filler, after)]
                 texts.append(" ".join(part))
                 classes.append(k)
             words = [w for s in TEMPLATES[family] for w in s.split()]
             for _ in range(2):
                 texts.append(" ".join(r.choice(words, min(len(words), int(r.integers(4, 12))))))
                 classes.append(len(FAMILIES) - 1)
-    texts += [*NEAR_MISSES * 4, *paragraphs]
+        for sentence in forms(family):
+            texts.append(sentence)
+            classes.append(k)
+    texts += [f.format(" ".join(pick(filler, int(r.integers(1, 4))) + ["license"] * int(r.integers(0, 2)))) for f in FORMS for _ in range(30)]
+    texts += NEAR_MISSES * 4
+    texts += [" ".join(pick(filler, int(r.integers(1, 60)))) for _ in range(1500)]
     classes += [len(FAMILIES) - 1] * (len(texts) - len(classes))
     order = r.permutation(len(texts))
     return [texts[i] for i in order], [classes[i] for i in order]
 
 
-def sampled(docs: DataFrame, most: int) -> list[str]:
-    """One paragraph of each of at most `most` documents, those of least hash of doc_id, that aren't near a template."""
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
-    line = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    pick = F.get(line, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.size(line), F.lit(1))).cast("int"))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(pick.alias("p")).where("p IS NOT NULL").collect()
-    model, out = Model(), []
-    for p in sorted({r.p for r in rows}):
-        hashes = Words(pa.array([p])).hashes
-        if all(model.containment(hashes, k) < 0.3 for k in model.grams):
-            out.append(p)
-    return out
-
-
-def train(paragraphs: list[str]) -> Model:
-    texts, classes = examples(paragraphs)
+@lru_cache(1)
+def train() -> Model:
+    texts, classes = examples()
     words = Words(pa.array([t.replace("\n", " ") for t in texts]))
-    return Model().fit(words, np.array(classes)[words.document])  # texts of signs alone have no words
+    return Model().fit(words, np.array(classes)[words.document])
 
 
 _OUT = "n_paragraphs long, family string, families array<string>, paragraph long, probability double, containment double, unconfirmed long"
@@ -358,8 +414,8 @@ def _scanner(model):
     return run
 
 
-def scan(docs: DataFrame, most: int = MAX_SAMPLED) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """A row for every document; see the module's text."""
-    model = docs.sparkSession.sparkContext.broadcast(train(sampled(docs, most)))
+    model = docs.sparkSession.sparkContext.broadcast(train())
     kind = docs.schema["doc_id"].dataType.simpleString()
     return mapped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _scanner(model), f"doc_id {kind}, {_OUT}")
