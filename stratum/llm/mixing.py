@@ -5,8 +5,8 @@ over domains (clean, low, toxic). Projected-gradient least squares then fits a r
 for every document: the expected tokens of domain k, sum(n_d * rate_d * p_dk), should
 equal the target. In the metric that weighs a document by its tokens the gradient of a
 document's rate is p_d . residual, so a step is rate <- clip(rate - p_d . step), with
-step the residual scaled by the inverse Gram matrix of the documents not clipped. An
-iteration is one aggregate of a few numbers over the written table of posteriors; rates
+step the residual scaled by the inverse Gram matrix of the documents that can follow it.
+An iteration is two aggregates of a few numbers over the written table of posteriors; rates
 are recomputed from the list of steps, so nothing per document is rewritten.
 
 Features are the presence of words and of their first PREFIX bytes (case folded, signs
@@ -18,7 +18,7 @@ LENGTHS powers of two of the number of words by DISTINCT steps of the share of d
 buckets; a shape without labelled rows has the biases of all. It is fitted on at most
 `most` labelled documents (the bound is a parameter); everything else covers every
 document. solve() ends when totals are within `close` of the targets, when a step gains
-less than a thousandth of the error, or after `most_steps` steps (a parameter); it
+less than a ten-thousandth of the error, or after `most_steps` steps (a parameter); it
 returns what was reached beside what was wanted, whichever ended it.
 
 Defined results: null and empty texts have no tokens, the posterior of a text without
@@ -171,12 +171,13 @@ def _rate(steps: list[np.ndarray], cap: float):
     return F.aggregate(rows, F.lit(1.0), lambda acc, s: F.least(F.greatest(moved(acc, s), F.lit(0.0)), F.lit(float(cap))))
 
 
-def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, cap: float = 4.0, most_steps: int = 25, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(table: DataFrame, targets: dict[str, float], total: float | None = None, cap: float = 4.0, most_steps: int = 40, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps, reached totals and wanted totals.
 
     total: the tokens of the mixture; if None, as many as the domain of most weight has
     without repetition, so that none of it need go. A step that doesn't lower the error
-    is halved; steps end when they no longer lower it by a thousandth.
+    is quartered, at last replaced by the plain gradient's; steps end when they no longer
+    lower the error by a ten-thousandth.
     """
     k, p = len(DOMAINS), [F.col(f"p_{d}") for d in DOMAINS]
     weights = np.array([targets[d] for d in DOMAINS], float)
@@ -184,34 +185,40 @@ def solve(table: DataFrame, targets: dict[str, float], total: float | None = Non
     n = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def measure(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rated = table.withColumn("rate", _rate(steps, cap))
-        free = F.when((F.col("rate") > 0) & (F.col("rate") < cap), n).otherwise(0.0) if steps else n
-        row = rated.agg(*(F.sum(n * F.col("rate") * x) for x in p), *(F.sum(free * p[i] * p[j]) for i, j in pairs)).first()
-        row = [x or 0.0 for x in row]
-        gram = np.zeros((k, k))
-        for (i, j), x in zip(pairs, row[k:], strict=True):
-            gram[i, j] = gram[j, i] = x
-        return np.array(row[:k]), gram
-
-    got, gram = measure([])
+    def totals(steps: list[np.ndarray]) -> np.ndarray:
+        row = table.withColumn("rate", _rate(steps, cap)).agg(*(F.sum(n * F.col("rate") * x) for x in p)).first()
+        return np.array([x or 0.0 for x in row])
+
+    def gram(steps: list[np.ndarray], off: np.ndarray) -> np.ndarray:
+        """Over documents whose rate can follow the residual: those inside, and those at a bound that it moves inside."""
+        push = sum((p[j] * float(off[j]) for j in range(1, k)), p[0] * float(off[0]))
+        rate = F.col("rate")
+        free = ((rate > 0) & (rate < cap)) | ((rate <= 0) & (push > 0)) | ((rate >= cap) & (push < 0))
+        row = table.withColumn("rate", _rate(steps, cap)).where(free).agg(*(F.sum(n * p[i] * p[j]) for i, j in pairs)).first()
+        out = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row, strict=True):
+            out[i, j] = out[j, i] = x or 0.0
+        return out
+
+    got = totals([])
     if total is None:
         total = got[weights.argmax()] / weights.max()
     want = weights * total
     steps: list[np.ndarray] = []
-    scale = max(total, 1.0)
-    size = 1.0
-    gain = 1.0
-    while len(steps) < most_steps and np.abs(got - want).max() > close * scale and size > 1e-3 and gain > 1e-3:
-        ridge = 1e-6 * max(np.trace(gram), 1.0)
-        step = size * np.linalg.solve(gram + ridge * np.eye(k), want - got)
-        new, new_gram = measure([*steps, step])
+    size, gain, square = 1.0, 1.0, gram([], want - got)
+    while len(steps) < most_steps and np.abs(got - want).max() > close * max(total, 1.0) and gain > 1e-4 and square.any():
+        if size > 1e-2:
+            step = size * np.linalg.solve(square + 1e-6 * max(np.trace(square), 1.0) * np.eye(k), want - got)
+        else:  # the plain gradient always lowers the error
+            step, gain = (want - got) / np.linalg.eigvalsh(square).max(), 0.0
+        new = totals([*steps, step])
         old_error, new_error = ((got - want) ** 2).sum(), ((new - want) ** 2).sum()
         if new_error < old_error * (1 - 1e-9):
             gain = 1 - new_error / old_error
-            steps, got, gram, size = [*steps, step], new, new_gram, min(1.0, size * 2)
+            steps, got, size = [*steps, step], new, min(1.0, size * 2) if size > 1e-2 else 1.0
+            square = gram(steps, want - got)
         else:
-            size /= 2
+            size /= 4
     return steps, got, want
 
 
