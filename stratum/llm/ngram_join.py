@@ -2,7 +2,7 @@
 
 The document by n-gram incidence matrix is multiplied with its transpose in blocks:
 
-1. A first pass names the n-gram set of every row by a 128-bit fingerprint (two wrapping
+1. A first pass names the n-gram set of every row by a 96-bit fingerprint (of two wrapping
    sums of mixed hashes); the table of these, a few words a row, is written. Sets with
    very many rows are known from it, and only one row of each goes on.
 2. The second pass sends every column block of the matrix as a few packed binary rows a
@@ -26,7 +26,7 @@ The document by n-gram incidence matrix is multiplied with its transpose in bloc
 report() has a row for every row of the input: doc_id, class_id (the least doc_id that a
 chain of links and equal sets leads to), links (how many other n-gram sets reach the
 threshold with this one's) and copies (rows with this set). It is exact but for ties of
-128-bit fingerprints and of 40-bit hashes inside a column block (about two in a million
+96-bit fingerprints and of 40-bit hashes inside a column block (about two in a million
 entries). No document, partner or candidate is capped. Where many different rows share
 rare columns without being similar, step 5 can still take time by the square of their
 number.
@@ -79,8 +79,8 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each run of values."""
-    return np.add.reduceat(T.mix(values ^ A), first), np.add.reduceat(T.mix(values ^ B), first)
+    """Fingerprints of each run of values, of 64 and of 32 bits."""
+    return np.add.reduceat(T.mix(values ^ A), first), np.add.reduceat(T.mix(values ^ B), first) >> np.uint64(32)
 
 
 def _same(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,21 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
 
 
 def _keys(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return np.stack([hi, lo], axis=1)
+    """Names of sets in twelve bytes each."""
+    out = np.empty((len(hi), 3), np.uint32)
+    out[:, :2], out[:, 2] = hi.astype(np.uint64).view(np.uint32).reshape(-1, 2), lo
+    return out
+
+
+def _few(counts: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each where they fit."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 65536 else np.uint32)
+
+
+def _joined_counts(table: pa.Table) -> np.ndarray:
+    """The counts of all packed rows; their width follows from the number of sets."""
+    out = [np.frombuffer(c.as_buffer(), np.uint16 if c.as_buffer().size * 6 == s.as_buffer().size else np.uint32) for c, s in zip(table.column("counts"), table.column("sets"), strict=True)]
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 _INCIDENCE = "block long, sets binary, counts binary, low binary, high binary"
@@ -178,12 +192,12 @@ def _incidence(n: int, blocks: int, shared):
                 out: list[tuple] = []
                 for h in np.unique(home):
                     own = home == h
-                    out.append((int(h), *_pack(keys[own], sizes[own].astype(np.uint32)), None, None))
+                    out.append((int(h), *_pack(keys[own], _few(sizes[own])), None, None))
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
                     is_hot = hot[at] == grams
                     order = np.argsort(home[row[is_hot]], kind="stable")
-                    out += [(int(home[r[0]]), *_pack(keys[r[new]], np.diff(np.r_[new, len(r)]).astype(np.uint32), x.astype(np.int32)), None) for r, x, new in _runs(row[is_hot][order], at[is_hot][order], home)]
+                    out += [(int(home[r[0]]), *_pack(keys[r[new]], _few(np.diff(np.r_[new, len(r)])), x.astype(np.int32)), None) for r, x, new in _runs(row[is_hot][order], at[is_hot][order], home)]
                     grams, row = grams[~is_hot], row[~is_hot]
                 block = ((grams >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block.astype(np.uint16) if blocks < 65536 else block, kind="stable")
@@ -192,7 +206,7 @@ def _incidence(n: int, blocks: int, shared):
                 for low, high in zip(at, np.r_[at[1:], len(block)] if len(at) else [], strict=True):
                     rows, part = row[low:high], grams[low:high]
                     new = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                    out.append((int(block[low]), *_pack(keys[rows[new]], np.diff(np.r_[new, len(rows)]).astype(np.uint32), part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint8))))
+                    out.append((int(block[low]), *_pack(keys[rows[new]], _few(np.diff(np.r_[new, len(rows)])), part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint8))))
                 if out:
                     yield pa.record_batch([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out, strict=True))], _NAMES)
 
@@ -214,8 +228,8 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _joined_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    both = _joined(table.column("sets"), np.uint64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    both = _joined(table.column("sets"), np.uint32).reshape(-1, 3)
+    return np.ascontiguousarray(both[:, :2]).view(np.uint64)[:, 0], both[:, 2].astype(np.uint64)
 
 
 _SHARED = "home long, block long, sets binary, counts binary, low binary, high binary, rank binary"
@@ -230,7 +244,7 @@ def _column_block(blocks: int):
         entries = table.filter(pc.is_valid(table.column("high")))
         if entries.num_rows:
             hi, lo = _joined_keys(entries)
-            counts = _joined(entries.column("counts"), np.uint32).astype(np.int64)
+            counts = _joined_counts(entries)
             grams = _joined(entries.column("low"), np.uint32).astype(np.uint64) | (_joined(entries.column("high"), np.uint8).astype(np.uint64) << np.uint64(32))
             kept = np.zeros(len(hi), bool)
             kept[_same(hi, lo)[0]] = True  # copies have equal columns
@@ -249,7 +263,7 @@ def _column_block(blocks: int):
             grams, row, rank = grams[order], row[order], rank[order]
             keys, at = _keys(hi, lo), 0
             for rows, part, new in _runs(row, grams, home):
-                out.append((int(home[rows[0]]), here, *_pack(keys[rows[new]], np.diff(np.r_[new, len(rows)]).astype(np.uint32), part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint8), rank[at : at + len(rows)])))
+                out.append((int(home[rows[0]]), here, *_pack(keys[rows[new]], _few(np.diff(np.r_[new, len(rows)])), part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint8), rank[at : at + len(rows)])))
                 at += len(rows)
         columns = list(zip(*out, strict=True)) if out else [[]] * len(_SHARED_NAMES)
         return pa.table([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], _SHARED_NAMES)
@@ -257,7 +271,7 @@ def _column_block(blocks: int):
     return run
 
 
-_ROWS = "hi long, lo long, size long, p_hi long, p_lo long, grams array<long>"
+_ROWS = "hi long, lo long, size int, p_hi long, p_lo long, grams array<long>"
 _ROWS_NAMES = ["hi", "lo", "size", "p_hi", "p_lo", "grams"]
 
 
@@ -267,7 +281,7 @@ def _row_block(t: float):
     def run(table: pa.Table) -> pa.Table:
         about = table.filter(pc.is_null(table.column("low")))
         hi, lo = _joined_keys(about)
-        sizes = _joined(about.column("counts"), np.uint32).astype(np.int64)
+        sizes = _joined_counts(about)
         normal, hot = table.filter(pc.is_valid(table.column("high"))), table.filter(pc.and_(pc.is_valid(table.column("low")), pc.is_null(table.column("high"))))
         h2, l2 = _joined_keys(normal)
         h3, l3 = _joined_keys(hot)
@@ -275,13 +289,13 @@ def _row_block(t: float):
         own, of, of_hot = label[: len(hi)], label[len(hi) : len(hi) + len(h2)], label[len(hi) + len(h2) :]
         size = np.zeros(len(first), np.int64)
         size[own] = sizes
-        counts = _joined(normal.column("counts"), np.uint32).astype(np.int64)
+        counts = _joined_counts(normal)
         grams = _joined(normal.column("low"), np.uint32).astype(np.uint64) | (_joined(normal.column("high"), np.uint8).astype(np.uint64) << np.uint64(32))
         lengths = np.asarray(pc.divide(pc.binary_length(normal.column("low")), 4), np.int64)
         grams = (grams | np.repeat(np.asarray(normal.column("block"), np.uint64), lengths) << np.uint64(40)).view(np.int64)
         rank, row = _joined(normal.column("rank"), np.uint16), np.repeat(of, counts)
         if hot.num_rows:  # a set of several slices has its hot columns as often
-            times = _joined(hot.column("counts"), np.uint32).astype(np.int64)
+            times = _joined_counts(hot)
             once = np.zeros(len(of_hot), bool)
             once[np.unique(of_hot, return_index=True)[1]] = True
             entry = np.repeat(once, times)
@@ -294,11 +308,11 @@ def _row_block(t: float):
         order = np.lexsort((grams, rank, row))
         grams = grams[order]
         if not len(rows):
-            return pa.table([pa.array([], x) for x in [pa.int64()] * 5 + [pa.list_(pa.int64())]], _ROWS_NAMES)
+            return pa.table([pa.array([], x) for x in [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.list_(pa.int64())]], _ROWS_NAMES)
         ends = np.cumsum(total[rows])
         p_hi, p_lo = _prints(grams.view(np.uint64), ends - total[rows])
         every = np.r_[hi, h2, h3][first], np.r_[lo, l2, l3][first]
-        return pa.table([*(pa.array(x[rows].view(np.int64)) for x in every), pa.array(size[rows]), *(pa.array(x.view(np.int64)) for x in (p_hi, p_lo)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(grams))], _ROWS_NAMES)
+        return pa.table([*(pa.array(x[rows].view(np.int64)) for x in every), pa.array(size[rows].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (p_hi, p_lo)), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(grams))], _ROWS_NAMES)
 
     return run
 
@@ -432,12 +446,12 @@ def _linked(sets: DataFrame, t: float) -> DataFrame:
     rows = sets.join(sized(alike.select(F.col("pid").alias("sid"), "weight")), "sid").withColumnRenamed("sid", "pid")
     total = F.size("grams")
     # the largest partner of a row whose overlap is at most `rest`
-    most = lambda rest: F.floor(rest * (1 + t) / t - F.col("size") + 1e-6)
+    most = lambda rest: F.floor(rest * (1 + t) / t - F.col("size") + 1e-6).cast("int")
     width = (total - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).cast("int")
     prefixes = rows.select("pid", "size", total.alias("total"), F.posexplode(F.slice("grams", F.lit(1), F.greatest(width, F.lit(1)))).alias("at", "gram"))
     prefixes = prefixes.select("pid", "size", "gram", most(F.col("total") - F.col("at")).alias("most"))
-    hubs = prefixes.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("size", "pid")).alias("hub")).where("n > 1")
-    edges = prefixes.join(hubs, "gram").where("pid <> hub.pid AND most >= hub.size").select(F.col("pid").alias("u"), F.col("hub.pid").alias("v")).distinct()
+    hubs = prefixes.groupBy("gram").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.min_by("pid", "size").alias("hub")).where("n > 1").drop("n")
+    edges = prefixes.select("gram", "pid", "most").join(hubs, "gram").where("pid <> hub AND most >= least").select(F.col("pid").alias("u"), F.col("hub").alias("v")).distinct()
     blocks = materialise(components(edges), "row-blocks").withColumnRenamed("doc", "pid")
     sizes = blocks.groupBy("root").agg(F.count("*").alias("n"))
     large = materialise(sizes.where(F.col("n") > TILE).select("root"), "large")

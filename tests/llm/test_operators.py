@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,57 @@ def test_mixing_meets_targets_that_can_be_met(spark):
     assert np.allclose(np.sort(rate), np.sort(again))
 
 
+def test_mixing_rates_are_an_independent_least_squares(spark):
+    """Rates of real documents against projected gradient in plain numpy, run to the end with tiny steps."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    table = mixing.posteriors(docs, labels)
+    rows = table.toPandas()
+    p, n = rows[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), rows.n_tokens.to_numpy().astype(float)
+    for targets, cap in (({"clean": 0.7, "low": 0.2, "toxic": 0.1}, 4.0), (mixing.TARGETS, 1.0), ({"clean": 0.1, "low": 0.1, "toxic": 0.8}, 2.0)):
+        steps, got, want = mixing.solve(table, targets, cap=cap)
+        rate = np.ones(len(n))
+        a = p.T * n
+        scale = np.linalg.eigvalsh((a / n.clip(1)) @ a.T).max()
+        for _ in range(20_000):
+            rate = np.clip(rate - p @ (a @ rate - want) / scale, 0, cap)
+        best = ((a @ rate - want) ** 2).sum()
+        own = np.ones(len(n))
+        for s in steps:
+            own = np.clip(own + p @ s, 0, cap)
+        assert np.allclose(a @ own, got) and ((got - want) ** 2).sum() <= 1.02 * best + (1e-3 * want.sum()) ** 2
+
+
+def test_context_vectors_and_pooling_are_dense_sums(spark):
+    texts = ["the cat sat on the mat", "a dog and a cat", None, "", "the the the", "mat " * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    place, sign = quality_classifier.index_vectors()
+    words = [[int(b) for b in quality_classifier.buckets(pa.array([t], pa.string()))[0]] for t in texts]
+    size = 1 << quality_classifier.BITS
+    context, count = np.zeros((size, quality_classifier.WIDTH)), np.zeros(size)
+    for doc in words:
+        for i, w in enumerate(doc):
+            count[w] += 1
+            for j in range(max(0, i - quality_classifier.WINDOW), min(len(doc), i + quality_classifier.WINDOW + 1)):
+                if i != j:
+                    for k in range(quality_classifier.NONZERO):
+                        context[w, place[doc[j], k]] += sign[doc[j], k]
+    share = count / count.sum()
+    want = context / np.maximum(np.linalg.norm(context, axis=1), 1)[:, None] * (quality_classifier.COMMON / (quality_classifier.COMMON + share))[:, None]
+    got = quality_classifier.word_vectors(df)
+    assert np.allclose(got, want, atol=1e-5)
+    pooled = quality_classifier.pooled(pa.array(texts), got)
+    assert np.allclose(pooled, [np.mean([want[w] for w in doc], axis=0) if doc else np.zeros(quality_classifier.WIDTH) for doc in words], atol=1e-5)
+
+
+def test_the_bound_on_labelled_rows_binds(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(i, "x") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    from stratum.llm._labelled import sample
+
+    rows = sample(docs, labels, 10).collect()
+    assert len(rows) == 10 == len({r.doc_id for r in rows})
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -244,10 +296,13 @@ def test_mixing_on_held_out_clean_rows_of_every_length(spark):
 
 
 def test_licences_on_other_wordings():
-    model = licences.train([f"an ordinary paragraph about {w} and the weather in the north" for w in ("fish", "ships", "wool", "towns", "corn")] * 40)
+    model, wrap = licences.train(), lambda t: "\n".join(textwrap.wrap(t, 40))
     cases = {
         "This software is released under the MIT License, see below.": "mit", "Code in this folder is licensed under the Apache License, Version 2.0.": "apache",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+        "Distributed under the terms of the MIT license": "mit", "License: MIT": "mit", "GNU GPL v3": "gpl", "The code is BSD licensed.": "bsd", "Licensed under GPLv2+": "gpl", "Eclipse Public License - v 2.0": "epl",
+        wrap(licences.TEMPLATES["mit"][4]): "mit", wrap(licences.TEMPLATES["isc"][3]): "isc", "# " + wrap(licences.TEMPLATES["gpl"][4]).replace("\n", "\n# "): "gpl", "Photos are CC BY-SA 4.0, the rest is not.": "cc-by-sa",
+        "Licensed under the Frobnitz License": "none", "Er kam mit dem Auto.": "none", "Their public license plates were stolen.": "none", "The students of the apache region met under the tree.": "none",
         "All content here is Licensed under CC BY-NC 4.0.": "cc-by-nc", "The mit of the town was licensed.": "none", "He renewed his driving license under the old law.": "none", "": "none", "a line\n\n" * 3 + "Released under the ISC License.": "isc",
     }
     got = licences.scanned(pa.array(list(cases)), model)
@@ -255,13 +310,28 @@ def test_licences_on_other_wordings():
     assert got[-1][3] == 3 and got[-2][0] == 0
 
 
+def test_licence_windows_are_brute_force():
+    """Exact forms are found wherever they stand, word by word, the longest first."""
+    model = licences.train()
+    every = {x: f for f in licences.TEMPLATES for x in licences.forms(f)}
+    r = np.random.default_rng(4)
+    chosen = [list(every)[i] for i in r.choice(len(every), 60, replace=False)]
+    texts = [f"alpha beta {x} gamma delta" for x in chosen]
+    for text, g in zip(texts, licences.scanned(pa.array(texts), model), strict=True):
+        words, best = text.split(), []
+        for x in every:
+            own = x.split()
+            best += [(-len(own), i, every[x]) for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+        assert min(best)[2] in g[2]
+
+
 SAID = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "Licensed under the GNU General Public License, version 2.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary", "SPDX-License-Identifier: MIT": "mit", "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License.": "cc-by-sa"}
 
 
 @pytest.fixture(scope="module")
 def scanner(spark):
-    paragraphs = licences.sampled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 2000)
-    return licences.train(paragraphs), [w for p in paragraphs for w in p.split()]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300").select("text").collect()]
+    return licences.train(), [w for t, g in zip(texts, licences.scanned(pa.array(texts), licences.train()), strict=True) if g[1] == "none" for w in (t or "").split()]
 
 
 def test_licences_inside_long_paragraphs(scanner):
