@@ -53,14 +53,22 @@ def filled(spark: SparkSession, sf_dir: str, parts: int = 4, **options) -> Wareh
     return w
 
 
-def two_tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+TWO_TIERS = "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total, min(ts) AS first FROM analytics.events WHERE event_id >= 10 GROUP BY event_type ORDER BY n DESC LIMIT 10"
+
+
+def two_tiers(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """Two thirds of the events sealed, the others hot."""
     w = warehouse(spark)
     w.create(EVENTS, *_FIELDS)
     rows = events(spark, sf_dir)
     w.ingest.commit(EVENTS, rows.where("event_id % 3 <> 0"))
     w.maintenance.seal(EVENTS)
     w.ingest.commit(EVENTS, rows.where("event_id % 3 = 0"))
-    return w.sql("SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total, min(ts) AS first FROM analytics.events WHERE event_id >= 10 GROUP BY event_type ORDER BY n DESC LIMIT 10")
+    return w
+
+
+def two_tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_tiers(spark, sf_dir).sql(TWO_TIERS)
 
 
 def membership_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,37 +89,42 @@ def membership_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(steps, "step string, n long")
 
 
-def _pruned(spark: SparkSession, sf_dir: str, by: str, sql: str) -> DataFrame:
-    """A query over eight segments clustered by a column, with whether every use of the table read fewer."""
+def clustered(spark: SparkSession, sf_dir: str, by: str) -> Warehouse:
+    """Events in eight segments, clustered by a column."""
     w = warehouse(spark)
     w.create(EVENTS, *_FIELDS, clustering=(by,))
     w.catalog.register(EVENTS, writer.write(events(spark, sf_dir), w.catalog.schema(EVENTS), w.files, "analytics/events", outputs=8))
-    plan = w.planner.plan(sql)
+    return w
+
+
+def _pruned(spark: SparkSession, sf_dir: str, by: str, sql: str) -> DataFrame:
+    """A query over eight segments, with whether it read less than half of them, all uses of the table together."""
+    plan = clustered(spark, sf_dir, by).planner.plan(sql)
     scanned = plan.statistics["analytics.events"]
     return plan.df.withColumn("pruned", F.lit(scanned["sealed_files"] < scanned["sealed_files_total"] / 2))
 
 
-_BETWEEN = "SELECT event_id, value FROM {0} WHERE event_id BETWEEN 100 AND 160"
-_TIME = "SELECT event_id, ts FROM {0} WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00'"
-_LIST = "SELECT event_id, value FROM {0} WHERE event_id IN (3, 40, 41)"
-_NESTED = "WITH a AS (SELECT event_id AS i, user_id FROM {0}), b AS (SELECT * FROM (SELECT event_id, value FROM {0}) s WHERE s.event_id < 50) SELECT a.i, b.value FROM a JOIN b ON a.i = b.event_id WHERE a.i BETWEEN 10 AND 60"
+BETWEEN = "SELECT event_id, value FROM {0} WHERE event_id BETWEEN 100 AND 160"
+TIME = "SELECT event_id, ts FROM {0} WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-05 12:00:00'"
+LIST = "SELECT event_id, value FROM {0} WHERE event_id IN (3, 40, 41)"
+NESTED = "WITH a AS (SELECT event_id AS i, user_id FROM {0}), b AS (SELECT * FROM (SELECT event_id, value FROM {0}) s WHERE s.event_id < 50) SELECT a.i, b.value FROM a JOIN b ON a.i = b.event_id WHERE a.i BETWEEN 10 AND 60"
 
 
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pruned(spark, sf_dir, "event_id", _BETWEEN.format("analytics.events"))
+    return _pruned(spark, sf_dir, "event_id", BETWEEN.format("analytics.events"))
 
 
 def pruned_scan_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pruned(spark, sf_dir, "ts", _TIME.format("analytics.events"))
+    return _pruned(spark, sf_dir, "ts", TIME.format("analytics.events"))
 
 
 def pruned_scan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pruned(spark, sf_dir, "event_id", _LIST.format("analytics.events"))
+    return _pruned(spark, sf_dir, "event_id", LIST.format("analytics.events"))
 
 
 def pruned_scan_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two uses of a table, by a common table expression and a subquery, each pruned by its own conditions."""
-    return _pruned(spark, sf_dir, "event_id", _NESTED.format("analytics.events"))
+    return _pruned(spark, sf_dir, "event_id", NESTED.format("analytics.events"))
 
 
 def log_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +267,10 @@ _PLAIN = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 SQL = {
     "two_tier_union": "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total, min(ts) AS first FROM events WHERE event_id >= 10 GROUP BY event_type ORDER BY n DESC LIMIT 10",
     "membership_rule": "SELECT step, (SELECT count(*) FROM events) AS n FROM (VALUES ('hot'), ('claimed'), ('merged'), ('registered'), ('retired'), ('reaped')) t(step)",
-    "pruned_scan": f"SELECT *, true AS pruned FROM ({_BETWEEN.format('events')})",
-    "pruned_scan_ts": f"SELECT *, true AS pruned FROM ({_TIME.format('events')})",
-    "pruned_scan_in": f"SELECT *, true AS pruned FROM ({_LIST.format('events')})",
-    "pruned_scan_nested": f"SELECT *, true AS pruned FROM ({_NESTED.format('events')})",
+    "pruned_scan": f"SELECT *, true AS pruned FROM ({BETWEEN.format('events')})",
+    "pruned_scan_ts": f"SELECT *, true AS pruned FROM ({TIME.format('events')})",
+    "pruned_scan_in": f"SELECT *, true AS pruned FROM ({LIST.format('events')})",
+    "pruned_scan_nested": f"SELECT *, true AS pruned FROM ({NESTED.format('events')})",
     "log_checkpoint": _PLAIN,
     "parquet_load": f"SELECT *, true AS several FROM ({_PLAIN})",
     "group_commit": "SELECT range AS id, 'n' || range AS name, true AS few FROM range(0, 1000)",
