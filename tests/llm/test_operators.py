@@ -432,3 +432,23 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     codec = bpe.codec(bpe.default_vocabulary())
     assert all(got[i] == codec.tokenizer.encode(good[i], add_special_tokens=False).ids for i in got)
     assert [n for n, _ in corpus_pipeline.STAGES]
+
+
+def test_pipeline_on_edge_rows_and_empty_tables(spark, tmp_path, docs, labels):
+    import corpus_pipeline
+
+    for name, rows in (("some", docs.drop("a_map")), ("none", docs.drop("a_map").where("false"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    own = [c for c in CLASHING if c.lower() not in ("token_ids", "starts", "ends")]
+    rows = out.select("doc_id", "text", "token_ids", *own).collect()
+    assert set(out.columns) == {"doc_id", "text", *own, "token_ids", "starts", "ends"}
+    assert {r.text for r in rows} <= {t for _, t in ROWS if t and t.strip()} and len({r.text for r in rows}) == len(rows)
+    assert all(tuple(r)[3:] == ("x",) * len(own) and r.token_ids for r in rows)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = docs.drop("a_map")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, f"{tmp_path}/some").cache()
+        assert kept.columns == docs.drop("a_map").columns
+    assert {r.doc_id for r in kept.collect()} == {1, None, 7, 8, 9}  # the long text has no stop words
