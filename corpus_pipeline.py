@@ -5,6 +5,15 @@ Jaccard join keeps one document of each group of near duplicates, mixing keeps r
 the rates that meet the target weights of the domains, and the last stage encodes what
 is left. Each stage works on all that the one before it kept; its result is written to
 the shared folder and read again, so a lost executor costs a task, not a lineage.
+
+Defined results: a null, empty or blank text has no words, so the first stage rejects it;
+no other stage sees one. A null doc_id is a document like others: of copies and near
+copies the row of least doc_id stays, nulls last. Repeated rows are copies. Texts are
+read whole, however long. Without labels every posterior is uniform, so mixing drops by
+chance alone, at rates that meet the targets as nearly as can be. An empty table gives an
+empty table. Columns beyond doc_id and text may have any name and hold nulls; all come
+out as they went in, but for those named token_ids, starts or ends, in any case, which
+the last stage replaces.
 """
 
 from stratum.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
