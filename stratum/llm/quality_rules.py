@@ -49,9 +49,8 @@ RULES = (
     Rule("shouting", "exclaim_ratio", high=0.1),
     Rule("few_stop_words", "stop_word_ratio", low=0.05, least_words=30),
     Rule("repeated_lines", "repeated_line_ratio", high=0.4),
+    Rule("repeated_words", "repeated_word_ratio", high=0.2, least_words=10),
 )
-#: With runs of a word within lines, which sql() lacks: op7_quality_rules is held against sql() and has RULES.
-ALL_RULES = (*RULES, Rule("repeated_words", "repeated_word_ratio", high=0.2, least_words=10))
 METRICS = ("n_words", "n_lines", "mean_word_chars", "symbol_ratio", "exclaim_ratio", "stop_word_ratio", "repeated_line_ratio", "repeated_word_ratio")
 
 
@@ -121,24 +120,20 @@ def _measured(df: DataFrame, rules: tuple[Rule, ...], text: str) -> tuple[DataFr
     own = [F.col(f"`{c}`") for c in df.columns]
     df, at = added(df, parts(F.col(f"`{text}`")))
     found = counts(*(F.col(at[k]) for k in ("text", "words", "lines")))
-    wanted = [m for m in METRICS if m != "repeated_word_ratio" or any(r.metric == m for r in rules)]
-    if "repeated_word_ratio" not in wanted:
-        del found["again"]
     df, at = added(df, found)
-    made = metrics({k: F.col(at[k]) if k in at else F.lit(0) for k in ("n_words", "n_lines", "solid", "symbols", "exclaims", "stops", "distinct", "again")})
-    df, to = added(df.select(*own, *(F.col(c) for c in at.values())), {m: made[m] for m in wanted})
+    df, to = added(df.select(*own, *(F.col(c) for c in at.values())), metrics({k: F.col(c) for k, c in at.items()}))
     df, failed = added(df, {"failed": F.concat_ws(",", *(F.when(broken(r, lambda k: F.col(to[k])), F.lit(r.name)) for r in rules))})
     return df, to, failed["failed"]
 
 
-def apply(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
+def apply(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """df with the metrics, `failed` and `keep`."""
     out, names, failed = _measured(df, rules, text)
     own = [F.col(f"`{c}`") for c in without(df, [*names, "failed", "keep"])]
     return out.select(*own, *(F.col(n).alias(m) for m, n in names.items()), F.col(failed).alias("failed"), (F.col(failed) == "").alias("keep"))
 
 
-def accepted(df: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, text: str = "text") -> DataFrame:
+def accepted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of df that break no rule, with the columns of df."""
     out, _, failed = _measured(df, rules, text)
     # the row number keeps the condition above the projection, where every metric is computed once
@@ -168,5 +163,6 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(lines) AS B
     {ratio(f"(length(t) - length(translate(t, '{SYMBOLS}', '')))", "solid")} AS symbol_ratio,
     {ratio("(length(t) - length(translate(t, '!?', '')))", "solid")} AS exclaim_ratio,
     {ratio(f"len(list_filter(words, lambda w: w IN ({stop})))", "len(words)")} AS stop_word_ratio,
-    {ratio("(len(lines) - len(list_distinct(lines)))", "len(lines)")} AS repeated_line_ratio FROM a)
+    {ratio("(len(lines) - len(list_distinct(lines)))", "len(lines)")} AS repeated_line_ratio,
+    {ratio("len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))", "len(words)")} AS repeated_word_ratio FROM a)
 SELECT *, failed = '' AS keep FROM (SELECT *, concat_ws(',', {", ".join(bad(r) for r in rules)}) AS failed FROM m)"""
