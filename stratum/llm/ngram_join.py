@@ -136,7 +136,7 @@ def hot_columns(texts: DataFrame, n: int, entries: int) -> np.ndarray:
     """The sorted n-grams that may have more entries than a column block should hold; 2 * HOT_COLUMNS at most."""
     least = max(HOT_ROWS, entries / HOT_COLUMNS)
     found = mapped(texts, _heavy(n, least / max(entries, 1)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2)
-    return np.sort(np.array([r.gram for r in found.select("gram").collect()], np.int64).view(np.uint64))
+    return np.sort(np.asarray(found.select("gram").toArrow().column("gram"), np.int64).view(np.uint64))
 
 
 def _pack(*arrays: np.ndarray) -> list[bytes]:
