@@ -40,8 +40,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
 
     One shuffle by key and one sort: both sides are unioned and a window carries the
     last right row forward, so no pair of rows is ever formed and state is one row.
-    Null times and null keys match nothing.
+    Null times and null keys match nothing. Columns of right with the name of one of left
+    come out as right_<name>.
     """
+    right = right.withColumnsRenamed({c: f"right_{c}" for c in right.columns if c in left.columns and c not in keys})
+    right_at, tie = (f"right_{c}" if c in left.columns and c not in keys else c for c in (right_at, tie))
     carried = [c for c in right.columns if c not in keys]
     both = left.select(*left.columns, F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType).alias("__r"), F.col(left_at).alias("__at"), F.lit(1).alias("__side"))
     there = right.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, right_at]))
@@ -50,7 +53,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     last = F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = both.unionByName(others).withColumn("__m", last).where("__side = 1")
     match = F.when(F.col("__at").isNotNull(), F.col("__m"))
-    return out.select(*left.columns, *(match[c].alias(c) for c in carried if c not in left.columns))
+    return out.select(*left.columns, *(match[c].alias(c) for c in carried))
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
