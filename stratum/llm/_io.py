@@ -99,7 +99,33 @@ def ship(spark: SparkSession) -> None:
     env.setdefault("MALLOC_TRIM_THRESHOLD_", str(4 << 20))
 
 
+def trim() -> None:
+    """Give the C library's free memory back to the system; workers are reused, and what one stage freed would stay with the next."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """df.mapInArrow with this package importable in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trimmed(function):
+    """A function of one Arrow table for applyInArrow that leaves no free memory behind."""
+
+    def run(table):
+        out = function(table)
+        trim()
+        return out
+
+    return run

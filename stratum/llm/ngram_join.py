@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import fresh, identity, mapped, materialise, remove, scratch_path, ship, sized
+from ._io import fresh, identity, mapped, materialise, remove, scratch_path, sized, trimmed
 
 N = 5
 THRESHOLD = 0.45
@@ -335,7 +335,7 @@ def _incident(df: DataFrame, about: DataFrame, n: int, t: float) -> DataFrame:
     frequent = {(r.hi % 2**64, r.lo % 2**64): bytes(r.row_key) for r in many.collect()}
     shared = spark.sparkContext.broadcast((hot, frequent))
     entry = mapped(df.select(identity().alias("row_key"), text), _incidence(n, blocks, shared), _INCIDENCE)
-    rows = entry.groupBy("block").applyInArrow(_column_block(blocks), _SHARED).groupBy("home").applyInArrow(_row_block(t), _ROWS)
+    rows = entry.groupBy("block").applyInArrow(trimmed(_column_block(blocks)), _SHARED).groupBy("home").applyInArrow(trimmed(_row_block(t)), _ROWS)
     return materialise(rows.withColumn("sid", F.monotonically_increasing_id()), "incidence")
 
 
@@ -485,7 +485,7 @@ def _linked(sets: DataFrame, t: float) -> DataFrame:
         work = work.withColumn("of", F.lit(-1).cast("long")).unionByName(tiles)
     else:
         work = work.withColumn("of", F.lit(-1).cast("long"))
-    found = materialise(work.select(*columns, "of").groupBy("of", "part_a", "part_b").applyInArrow(_multiply(t), _LINKS), "links")
+    found = materialise(work.select(*columns, "of").groupBy("of", "part_a", "part_b").applyInArrow(trimmed(_multiply(t)), _LINKS), "links")
     roots = materialise(components(found.select(F.col("pid").alias("u"), F.col("star").alias("v"))), "classes")
     partners = found.groupBy("pid").agg(F.sum("links").alias("links")).join(roots.select(F.col("doc").alias("pid"), "root"), "pid")
     alone = F.size("grams") >= t * (2 * F.col("size") - F.size("grams"))
