@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._io import fresh, mapped, without
 
-SLICE = 2 << 20
-CACHED = 1_000_000
+SLICE = 1 << 20
+CACHED = 250_000
 
 
 def default_vocabulary() -> str:
