@@ -90,3 +90,20 @@ def test_forms(w):
     assert one("SELECT lake.t.id FROM lake.t WHERE lake.t.name = 'lake.t.id' OR lake.t.id = 10") == [(10,)]
     assert one("SELECT 'QUALIFY generate_series(1, 2) {x}' AS a, repeat('ab', 2) AS b -- QUALIFY 1") == [("QUALIFY generate_series(1, 2) {x}", "abab")]
     assert dialect.rewritten("SELECT a FROM b") == "SELECT a FROM b"
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT u.id, x.id AS t FROM lake.u, LATERAL (SELECT t.id FROM lake.t WHERE t.id >= u.id ORDER BY t.name DESC, t.id LIMIT 1) x",
+    "SELECT u.id, (SELECT t.id FROM lake.t t WHERE t.id % 10 = u.id % 10 ORDER BY t.name DESC LIMIT 1) AS t FROM lake.u",
+])
+def test_limited_subqueries_keep_their_order(w, sql):
+    """The rank over which Spark limits a correlated subquery has the sort keys, selected or not."""
+    df = w.sql(sql)
+    assert df.columns == ["id", "t"]
+    assert all("DESC" in x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "windowspecdefinition" in x)
+    assert sorted(map(tuple, df.collect())) == ([(11, 59), (52, 59)] if "LATERAL" in sql else [(11, 51), (52, 52)])
+
+
+def test_limited_subqueries_that_stay():
+    for sql in ("SELECT a FROM (SELECT a FROM b ORDER BY a LIMIT 1)", "SELECT a FROM (SELECT b AS a FROM c ORDER BY 1 DESC, a LIMIT 1)", "SELECT a FROM (SELECT a FROM b ORDER BY c)", "SELECT a FROM b ORDER BY c LIMIT 1"):
+        assert dialect.rewritten(sql) == sql
