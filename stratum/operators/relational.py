@@ -153,7 +153,7 @@ def lake(spark: SparkSession, sf_dir: str, names) -> Warehouse:
                 continue
             w.create(ref, *((c, _TYPES[kind]) for c, kind in rows.dtypes), clustering=_CLUSTERING.get(name, ()))
             third = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
-            sealed = engine.writer.write(rows.where(third > 0), w.catalog.schema(ref), w.files, f"{DATASET}/{name}", outputs=8 if name in _CLUSTERING else 1)
+            sealed = engine.writer.write(rows.where(third > 0), w.catalog.schema(ref), w.files, f"{DATASET}/{name}", least=8 if name in _CLUSTERING else 1)
             w.catalog.register(ref, sealed)
             w.ingest.commit(ref, rows.where(third == 0))
     return w

@@ -151,3 +151,21 @@ def test_footers_are_read_through_hadoop_too(w):
     assert {k: v for k, v in made.items() if k != "key"} == writer.footer(other, w.files.path(made["key"]))
     size, tail = other.end(w.files.path(made["key"]), 16)
     assert size == made["bytes"] and tail.read(4) == b"\0" * 4
+
+
+def test_writes_are_cut_by_size(w, monkeypatch):
+    """One commit of much is several tasks and segments, in key order, whether the plan tells its size or not."""
+    from stratum.sources import writer
+
+    ref, folder = w.create(("lake", "cut"), ("id", "INT64"), ("name", "STRING"), clustering=("id",)), w.files.path("_in/cut")
+    w.spark.range(4000).selectExpr("(id * 7919) % 4000 AS id", "uuid() AS name").write.parquet(folder)
+    files, made = w.spark.read.parquet(folder), w.spark.range(4000).selectExpr("id", "uuid() AS name")
+    assert writer.estimate(files.where("id > 5")) == w.files.size(f"{folder}/*.parquet") and writer.estimate(made) is None
+    monkeypatch.setattr(writer, "PART", 30_000)
+    for rows in (files, made):
+        found = writer.write(rows, w.catalog.schema(ref), w.files, "lake/cut")
+        bounds = [(s["stats"]["id"]["min"], s["stats"]["id"]["max"]) for s in found]
+        assert len(found) >= 3 and bounds == sorted(bounds) and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:])) and sum(s["rows"] for s in found) == 4000
+    w.ingest.commit(ref, files, "once")
+    assert len(w.manifest(ref).entries()) >= 3 and not w.ingest.commit(ref, files, "once") and w.table(ref).count() == 4000
+    assert w.files.names("_staging") == []
