@@ -169,3 +169,28 @@ def test_writes_are_cut_by_size(w, monkeypatch):
     w.ingest.commit(ref, files, "once")
     assert len(w.manifest(ref).entries()) >= 3 and not w.ingest.commit(ref, files, "once") and w.table(ref).count() == 4000
     assert w.files.names("_staging") == []
+
+
+def test_seals_of_much_are_cut_and_repeatable(w, monkeypatch):
+    """A seal in several tasks: parts that follow each other, registered together and once, however often it is tried."""
+    from stratum.sources import writer
+
+    ref, m = w.create(("lake", "parts"), ("id", "INT64"), ("name", "STRING"), clustering=("id",)), w.maintenance
+    for i in range(2):
+        w.ingest.commit(ref, w.spark.range(2000).selectExpr(f"id * 2 + {i} AS id", "uuid() AS name"))
+    before = w.catalog.snapshot()
+    monkeypatch.setattr(writer, "PART", 20_000)
+    output = m.claim(ref)
+    keys = w.manifest(ref).claims()[output]
+    left = m.merge(ref, keys, output)  # and a crash before it is registered
+    assert len(left) >= 3 and w.table(ref).count() == 4000
+    late = m.merge(ref, keys, output)
+    m.finish(ref, output)
+    w.catalog.register(ref, late)  # another that was slower
+    assert len({s["of"] for s in w.catalog.segments(ref).values()}) == 1 and not set(w.catalog.segments(ref)) & {s["key"] for s in [*left, *late]}
+    assert w.table(ref).selectExpr("count(*)", "count(DISTINCT id)").first()[:2] == (4000, 4000) == w.table(ref, before).selectExpr("count(*)", "count(DISTINCT id)").first()[:2]
+    bounds = [(s["stats"]["id"]["min"], s["stats"]["id"]["max"]) for s in w.catalog.segments(ref).values()]
+    assert len(bounds) >= 3 and bounds == sorted(bounds) and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    assert m.seal(ref) == [] and m.compact(ref) == 0 and w.manifest(ref).claims() == {}
+    m.reap(ref, 0)
+    assert w.table(ref).count() == 4000
