@@ -9,6 +9,8 @@ partial sums meet.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import threading
 
@@ -192,14 +194,18 @@ def pivot(spark, sf_dir):
 
 
 def clustered_sort(spark, sf_dir):
-    """The place of every row in the one segment that a seal of a clustered table wrote."""
+    """The place of every row in what a seal of a clustered table wrote: one segment, or several that follow each other."""
     w, ref = engine.warehouse(spark), ("sorted", "orders")
     rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     w.create(ref, ("o_custkey", "INT64"), ("o_orderdate", "TIMESTAMP"), ("o_orderkey", "INT64"), clustering=("o_custkey", "o_orderdate", "o_orderkey"))
     for i in range(2):
         w.ingest.commit(ref, rows.where(F.pmod("o_orderkey", F.lit(2)) == i))
-    (key,) = w.maintenance.seal(ref)
-    return spark.read.parquet(w.files.path(key)).select("o_custkey", "o_orderdate", "o_orderkey", F.col("_metadata.row_index").alias("place"))
+    w.maintenance.seal(ref, most=math.inf)
+    segments = w.catalog.segments(ref)  # in the order in which they were registered
+    ends = itertools.accumulate(s["rows"] for s in segments.values())
+    starts = spark.createDataFrame([(k.rsplit("/", 1)[1], end - segments[k]["rows"]) for k, end in zip(segments, ends, strict=True)], "name string, start long")
+    rows = w.planner.frame(ref, [*segments]).select("*", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("at"))
+    return rows.join(F.broadcast(starts), "name").select("o_custkey", "o_orderdate", "o_orderkey", (F.col("start") + F.col("at")).alias("place"))
 
 
 def col_stats(spark, sf_dir):

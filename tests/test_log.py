@@ -194,3 +194,13 @@ def test_seals_of_much_are_cut_and_repeatable(w, monkeypatch):
     assert m.seal(ref) == [] and m.compact(ref) == 0 and w.manifest(ref).claims() == {}
     m.reap(ref, 0)
     assert w.table(ref).count() == 4000
+
+
+def test_places_in_a_seal_of_several_parts(spark, monkeypatch):
+    from differential import compare
+
+    from stratum.operators import relational
+    from stratum.sources import writer
+
+    monkeypatch.setattr(writer, "PART", 8_000)
+    compare(spark, relational.clustered_sort, relational.oracle_sql()["clustered_sort"])
