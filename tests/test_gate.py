@@ -107,3 +107,14 @@ def test_limited_subqueries_keep_their_order(w, sql):
 def test_limited_subqueries_that_stay():
     for sql in ("SELECT a FROM (SELECT a FROM b ORDER BY a LIMIT 1)", "SELECT a FROM (SELECT b AS a FROM c ORDER BY 1 DESC, a LIMIT 1)", "SELECT a FROM (SELECT a FROM b ORDER BY c)", "SELECT a FROM b ORDER BY c LIMIT 1"):
         assert dialect.rewritten(sql) == sql
+
+
+def test_windows_over_all_rows_are_aggregates(w):
+    df = w.sql("SELECT id, count(*) OVER () AS n, 2 * max(abs(id)) OVER () AS m, rank() OVER (PARTITION BY id ORDER BY ts) AS r FROM lake.t WHERE id < 30 ORDER BY id LIMIT 2")
+    assert [tuple(r) for r in df.collect()] == [(10, 20, 58, 1), (11, 20, 58, 1)] and df.columns == ["id", "n", "m", "r"]
+    assert "windowspecdefinition(specifiedwindowframe" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for sql in (
+        "SELECT a, count(*) OVER () AS n FROM b GROUP BY a", "SELECT DISTINCT a, count(*) OVER () AS n FROM b", "SELECT sum(count(*)) OVER () AS n FROM b", "SELECT collect_list(a) AS l, count(*) OVER () AS n FROM b",
+        "SELECT a + 1 AS x, sum(x) OVER () AS n FROM b", "SELECT count(*) FILTER (WHERE a) OVER () AS n FROM b", "SELECT count(*) OVER () FROM b", "SELECT row_number() OVER () AS n FROM b", "SELECT count(*) OVER () AS n FROM b TABLESAMPLE (5 ROWS)",
+    ):
+        assert dialect.rewritten(sql) == sql
