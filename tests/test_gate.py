@@ -118,3 +118,11 @@ def test_windows_over_all_rows_are_aggregates(w):
         "SELECT a + 1 AS x, sum(x) OVER () AS n FROM b", "SELECT count(*) FILTER (WHERE a) OVER () AS n FROM b", "SELECT count(*) OVER () FROM b", "SELECT row_number() OVER () AS n FROM b", "SELECT count(*) OVER () AS n FROM b TABLESAMPLE (5 ROWS)",
     ):
         assert dialect.rewritten(sql) == sql
+
+
+def test_sketches_are_not_kept_by_key(spark):
+    """The exact count's keys and the sketch are aggregated apart."""
+    from stratum.operators import relational
+
+    plan = relational.approx_distinct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all("approx_count_distinct" not in x for x in plan.split("\n") if "keys=[l_partkey" in x)
